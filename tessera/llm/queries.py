@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, minhash, pii, quality, secret_scan, toxicity
+from . import bpe, contamination, ctw, minhash, pii, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_contamination": op6_contamination,
         "op7_toxicity": op7_toxicity,
         "op8_secrets": op8_secrets,
+        "op10_ctw": op10_ctw,
     }
 
 
