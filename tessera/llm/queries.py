@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, ctw, minhash, pii, quality, secret_scan, toxicity
+from . import bpe, contamination, ctw, minhash, nndescent, pii, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_minhash": op2_minhash,
+        "op3_nndescent": op3_nndescent,
         "op4_pii": op4_pii,
         "op5_quality": op5_quality,
         "op6_contamination": op6_contamination,
