@@ -6,10 +6,11 @@
    has at most ``region`` nodes; a larger one is split by the next minimum, and so on, so the
    depth adapts to the density of the region.  Runs that stay large at full depth, and the seams of
    split regions, give neighbours in the order.
-3. Candidates are confirmed in rounds that skip pairs already known to be connected: first the
-   neighbour that most orders agree on, then one pair for each two components, then all the rest.
-4. A region that was split, or cut by a partition's end, may have missed pairs.  Where it still holds
-   more than one component, all its pairs between components are confirmed too.
+3. Every node's candidate that most orders agree on is confirmed first.  That joins most groups.
+4. What may still lie between components is settled exactly: candidates between two components and the
+   members of open regions (split ones, and those cut by a partition's end) form clusters, and each cluster
+   is compared in blocks on the full sets.  Blocks of one component, or whose sizes
+   rule out a link, are passed over; a block returns a spanning forest of its links, not its pairs.
 
 Orders are range-partitioned by (region, label, node), so a dense region spreads over many tasks.
 A pair at the threshold t meets in no region with probability (1 - t^base_depth)^trees: 2e-8 for
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, id_text, stage
+from .common import id_text, stage
 from .graph import components, contract
 from .shingles import minhash, permutations, shingle_set
 
@@ -89,7 +90,7 @@ def _close(n_a: int, n_b: int, f: Forest) -> bool:
 
 
 def neighbours(rows: DataFrame, f: Forest) -> DataFrame:
-    """Candidates (a, b) and, with b null, open regions (region) whose pairs are not all listed."""
+    """Candidates (a, b) and, with b null, the members a of open regions, whose pairs are not all listed."""
 
     def pairs(members, depth, out):
         """members: (label, node, n), sorted."""
@@ -116,9 +117,9 @@ def neighbours(rows: DataFrame, f: Forest) -> DataFrame:
             pairs(members, depth, out)
 
     def table(found, opened):
-        a = [x for x, _ in found] + [None] * len(opened)
+        a = [x for x, _ in found] + [x for _, x in opened]
         b = [y for _, y in found] + [None] * len(opened)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([None] * len(found) + opened, pa.int64())], ["a", "b", "region"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([None] * len(found) + [r for r, _ in opened], pa.int64())], ["a", "b", "region"])
 
     #: Rows of one region that a task holds at once; a longer run is worked off in parts and stays open.
     hold = 4096
@@ -128,11 +129,10 @@ def neighbours(rows: DataFrame, f: Forest) -> DataFrame:
 
         def close(last):
             nonlocal members
-            if current is not None:
-                if len(members) > 1:
-                    pairs(members, f.base, found)
-                if first or last or cut or len(members) > f.region:
-                    opened.append(current)
+            if len(members) > 1:
+                pairs(members, f.base, found)
+            if members and (first or last or cut or len(members) > f.region):
+                opened.extend((current, node) for _, node, _ in members)
             members = []
 
         for batch in batches:
@@ -143,10 +143,11 @@ def neighbours(rows: DataFrame, f: Forest) -> DataFrame:
                         first = False
                     current, cut = region, False
                 elif len(members) >= hold:
-                    pairs(members, f.base, found)
-                    members, cut = members[-1:], True
+                    cut, kept = True, members[-1:]
+                    close(False)
+                    members = kept
                 members.append((label, node, n))
-                if len(found) > 20000:
+                if len(found) + len(opened) > 20000:
                     yield table(found, opened)
                     found, opened = [], []
         close(True)
@@ -201,23 +202,11 @@ def near_duplicates(docs: DataFrame, f: Forest | None = None) -> DataFrame:
     rows = ordered(nodes, f)
     found = stage(neighbours(rows, f), "candidates")
     edges = stage(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree")), "edges")
-    opened = found.where("b is null").select("region").distinct()
     sets = stage(_sets(texts, nodes, edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), f), "sets")
-
-    # the neighbour that most orders agree on
-    parents = edges.groupBy(F.col("b")).agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
+    parents = edges.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     done = stage(confirm(parents, sets, f), "confirmed")
     roots = stage(components(done.where("linked").select("a", "b")), "roots")
-    # one pair for each two components, then all that still lie between components
-    apart = _with_roots(edges.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots)
-    best = apart.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("e")).select("e.a", "e.b")
-    done2 = stage(confirm(best, sets, f), "confirmed")
-    roots = _merge(roots, _with_roots(done2.where("linked"), roots))
-    apart = _with_roots(edges.join(done.unionByName(done2).select("a", "b"), ["a", "b"], "left_anti"), roots)
-    done3 = stage(confirm(apart.select("a", "b"), sets, f), "confirmed")
-    roots = _merge(roots, _with_roots(done3.where("linked"), roots))
-    # open regions that still hold several components
-    roots = _rest(rows, opened, edges, texts, nodes, roots, f)
+    roots = _settle(edges.join(done.select("a", "b"), ["a", "b"], "left_anti"), found.where("b is null").select("region", F.col("a").alias("node")).distinct(), texts, nodes, roots, f)
 
     whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
@@ -242,22 +231,130 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, f: Forest) -> D
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _rest(rows: DataFrame, opened: DataFrame, edges: DataFrame, texts: DataFrame, nodes: DataFrame, roots: DataFrame, f: Forest) -> DataFrame:
-    members = rows.join(opened, "region", "left_semi").select("region", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    members = stage(members, "open")
-    mixed = members.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("region")
-    members = members.join(mixed, "region", "left_semi")
-    # all pairs between components: every node outside a region's largest component against the whole region
-    sizes = members.groupBy("region", "root").count()
-    largest = sizes.groupBy("region").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    outside = members.join(largest, "region").where("root != most").select("region", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    near = F.expr(f"{f.den} * least(n, nx) >= {f.num} * greatest(n, nx)")
-    pairs = members.join(outside, "region").where(F.col("root") != F.col("rx")).where(near)
-    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(edges.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = stage(pairs, "rest")
-    sets = stage(_sets(texts, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), f), "sets")
-    done = stage(confirm(pairs, sets, f), "confirmed")
-    out = _merge(roots, _with_roots(done.where("linked"), roots))
-    for x in (members, pairs, sets, done):
-        drop_stage(x)
+def _settle(edges: DataFrame, opened: DataFrame, texts: DataFrame, nodes: DataFrame, roots: DataFrame, f: Forest) -> DataFrame:
+    """Roots after all links between components were found among candidates (a, b) and members (region, node) of open regions."""
+    apart = _with_roots(edges, roots).select("a", "b")
+    members = opened.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo != hi")
+    ties = members.join(mixed, "region").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    clusters = stage(components(apart.unionByName(ties), "clusters"), "clusters").withColumnRenamed("root", "cluster")
+    sets = _sets(texts, nodes, clusters.select("node"), f)
+    held = clusters.join(sets, "node").join(nodes.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = stage(_blocks(held, f), "blocks")
+    inside = blocks.where("a is not null").select("a", "b")
+    left = blocks.where("a is null").select("cluster", "block", "root", "least", "most", "nodes", "sets")
+    right = left.select("cluster", *(F.col(c).alias(f"{c}2") for c in ("block", "root", "least", "most", "nodes", "sets")))
+    fits = F.expr(f"{f.den} * most2 >= {f.num} * least and {f.den} * most >= {f.num} * least2")
+    pairs = left.join(right, "cluster").where("block <= block2").where("root is null or root2 is null or root != root2").where(fits)
+    linked = stage(inside.unionByName(_compare(pairs, f)), "linked")
+    return _merge(roots, _with_roots(linked, roots))
+
+
+def forest(left: list[np.ndarray], right: list[np.ndarray] | None, f: Forest) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside ``left``, or between ``left`` and ``right`` (places, right ones after left)."""
+    both = left + (right or [])
+    size = np.array([len(x) for x in both], dtype=np.int64)
+    if len(both) == 2:
+        shared = np.array([[0, len(np.intersect1d(both[0], both[1], assume_unique=True))], [0, 0]], dtype=np.float64)
+        shared[1, 0] = shared[0, 1]
+    else:
+        values = np.concatenate(both)
+        row = np.repeat(np.arange(len(both)), size)
+        order = np.argsort(values, kind="stable")
+        values, row = values[order], row[order]
+        start = np.concatenate([[True], values[1:] != values[:-1]])
+        column = np.cumsum(start) - 1
+        often = np.bincount(column) > 1
+        column, row = (np.cumsum(often) - 1)[column[often[column]]], row[often[column]]
+        shared = np.zeros((len(both), len(both)))
+        for at in range(0, int(often.sum()), 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            dense = np.zeros((len(both), 4096), dtype=np.float32)
+            dense[row[lo:hi], column[lo:hi] - at] = 1
+            shared += dense @ dense.T
+    union = size[:, None] + size[None, :] - shared
+    a, b = np.nonzero(np.triu((f.den * shared >= f.num * union) & (union > 0), 1))
+    parent = list(range(len(both)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        if right is not None and (i < len(left)) == (j < len(left)):
+            continue
+        x, y = root(i), root(j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((i, j))
     return out
+
+
+_BLOCK_SCHEMA = "a binary, b binary, cluster binary, block binary, root binary, least long, most long, nodes array<binary>, sets array<binary>"
+
+
+def _blocks(held: DataFrame, f: Forest, block: int = 256, block_bytes: int = 4_000_000) -> DataFrame:
+    """Links (a, b) of clusters that fit one block, and the blocks of all others; root is null where a block mixes components."""
+    names = ["a", "b", "cluster", "block", "root", "least", "most", "nodes", "sets"]
+    types = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+
+    def run(batches):
+        current, members, size, whole, first, out = None, [], 0, True, True, []
+
+        def close(last_of_task, ends):
+            """ends: the cluster ends here; a whole cluster in one block is compared at once."""
+            nonlocal members, size, whole
+            if members and ends and whole and not first and not last_of_task:
+                sets = [np.frombuffer(m[2], dtype=np.uint64) for m in members]
+                if len({m[1] for m in members}) > 1:
+                    out.extend((members[i][0], members[j][0], *[None] * 7) for i, j in forest(sets, None, f))
+            elif members:
+                n = [m[3] for m in members]
+                roots = {m[1] for m in members}
+                out.append((None, None, current, members[0][0], members[0][1] if len(roots) == 1 else None, min(n), max(n), [m[0] for m in members], [m[2] for m in members]))
+                whole = False
+            members, size = [], 0
+
+        for batch in batches:
+            for cluster, root, n, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("cluster", "root", "n", "node", "shingles"))):
+                if cluster != current:
+                    if current is not None:
+                        close(False, True)
+                        first = False
+                    current, whole = cluster, True
+                elif len(members) >= block or size >= block_bytes:
+                    close(False, False)
+                members.append((node, root, shingles, n))
+                size += len(shingles)
+                if len(out) >= 64:
+                    yield table(out)
+                    out = []
+        close(True, True)
+        if out:
+            yield table(out)
+
+    spread = held.select("cluster", "root", "n", "node", "shingles").repartitionByRange("cluster", "root", "n", "node").sortWithinPartitions("cluster", "root", "n", "node")
+    return spread.mapInArrow(run, _BLOCK_SCHEMA)
+
+
+def _compare(pairs: DataFrame, f: Forest) -> DataFrame:
+    """A spanning forest of the links in each pair of blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("block", "block2", "nodes", "nodes2", "sets", "sets2")}
+                left = [np.frombuffer(x, dtype=np.uint64) for x in row["sets"]]
+                same = row["block"] == row["block2"]
+                right = None if same else [np.frombuffer(x, dtype=np.uint64) for x in row["sets2"]]
+                nodes = row["nodes"] if same else row["nodes"] + row["nodes2"]
+                found = forest(left, right, f)
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.binary()), pa.array([nodes[y] for _, y in found], pa.binary())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a binary, b binary")
