@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACE, chunk_id, sha256, stripped
 
 _HEADING = rf"(?U)^(#{{1,6}}){SPACE}+(.*[^\s\x1c-\x1f]){SPACE}*$"
-_LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def windows(text: Column, size: Column, step: Column) -> Column:
