@@ -87,7 +87,8 @@ def scan(docs: DataFrame, repository: list[str] | None = None, owner: str = "sou
     out = found.join(by_row, found["__row"] == by_row["__of"], "left").withColumn("all", F.coalesce("all", F.array().cast(spans_type)))
     base = F.filter("all", lambda s: s["base"])
     out = out.withColumn("__base", base)
-    added = F.filter("all", lambda s: ~s["base"] & s["live"] & ~overlaps(s, F.col("__base")))
+    out = out.withColumn("__named", F.filter("all", lambda s: s["kind"] != "mixed"))
+    added = F.filter("all", lambda s: ~s["base"] & s["live"] & ~overlaps(s, F.col("__base")) & ((s["kind"] != "mixed") | ~overlaps(s, F.col("__named"))))
     return out.select("doc_id", *keep, F.concat("__base", added).alias("spans"))
 
 
