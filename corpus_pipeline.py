@@ -21,10 +21,16 @@ from tessera.llm import bpe, contamination, minhash, secret_scan, toxicity
 from tessera.llm.common import stage, table
 
 
+def _hidden(docs: DataFrame, visible: list[str]) -> tuple[DataFrame, list[str], list]:
+    """documents with all but the visible columns under names that clash with nothing; those names; and the way back."""
+    names = {c: c if c in visible else f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(c).alias(n) for c, n in names.items())), [n for n in names.values() if n.startswith("__c")], [F.col(n).alias(c) for c, n in names.items()]
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    hidden, others, back = _hidden(docs, ["doc_id", "text"])
+    return toxicity.score(hidden, model, keep=["text", *others]).where("predicted = 0").select(*back)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +50,14 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    found = secret_scan.scan(docs.withColumn("__text", F.col("text")).withColumn("__id", F.col("doc_id")), keep=["__id", "__text", *[c for c in columns if c not in ("doc_id", "text")]])
-    text = secret_scan.redact(F.col("__text"), F.col("spans"))
-    out = found.withColumn("text", text).withColumn("doc_id", F.col("__id"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    hidden, others, back = _hidden(docs, ["doc_id", "text", "lang", "source", "n_chars"])
+    kept = [c for c in ("text", "lang", "source", "n_chars") if c in docs.columns]
+    found = secret_scan.scan(hidden, keep=[*kept, *others])
+    marked = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("spans")))
+    if "n_chars" in kept:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        marked = marked.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
+    return marked.select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
