@@ -82,13 +82,13 @@ def scan(docs: DataFrame, repository: list[str] | None = None, owner: str = "sou
     frequency = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"))
     copied = frequency.where(F.col("owners") > most_owners).select(F.col("hash").alias("__hash"), F.lit(True).alias("copied"))
     judged = spans.join(copied, F.col("s.hash") == F.col("__hash"), "left").select("__row", F.struct("s.kind", "s.start", "s.end", "s.base", F.coalesce(~F.col("copied"), F.lit(True)).alias("live")).alias("s"))
-    by_row = judged.groupBy(F.col("__row").alias("__of")).agg(F.array_sort(F.collect_list("s")).alias("all"))
+    by_row = judged.groupBy(F.col("__row").alias("__of")).agg(F.array_sort(F.collect_list("s")).alias("__all"))
     spans_type = "array<struct<kind:string,start:int,end:int,base:boolean,live:boolean>>"
-    out = found.join(by_row, found["__row"] == by_row["__of"], "left").withColumn("all", F.coalesce("all", F.array().cast(spans_type)))
-    base = F.filter("all", lambda s: s["base"])
+    out = found.join(by_row, found["__row"] == by_row["__of"], "left").withColumn("__all", F.coalesce("__all", F.array().cast(spans_type)))
+    base = F.filter("__all", lambda s: s["base"])
     out = out.withColumn("__base", base)
-    out = out.withColumn("__named", F.filter("all", lambda s: s["kind"] != "mixed"))
-    added = F.filter("all", lambda s: ~s["base"] & s["live"] & ~overlaps(s, F.col("__base")) & ((s["kind"] != "mixed") | ~overlaps(s, F.col("__named"))))
+    out = out.withColumn("__named", F.filter("__all", lambda s: s["kind"] != "mixed"))
+    added = F.filter("__all", lambda s: ~s["base"] & s["live"] & ~overlaps(s, F.col("__base")) & ((s["kind"] != "mixed") | ~overlaps(s, F.col("__named"))))
     return out.select("doc_id", *keep, F.concat("__base", added).alias("spans"))
 
 

@@ -176,17 +176,20 @@ def scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, mod: int = 5, held_out: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; ``keep`` adds columns of documents as they are."""
+    """(doc_id, held_out, score, predicted) of every row; ``keep`` adds further columns of documents as they are."""
     keep = keep or []
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"), *keep)
+    texted = "text" in keep
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c != "text"])
 
     def run(batches):
         one = scorer(model)
         for batch in batches:
-            scores = [one(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64())], ["__id", *keep, "score"])
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
-    out = rows.mapInArrow(run, f"__id long, {kept}score double")
-    fold = fraction_of_crc("__id", mod)
-    return out.select(F.col("__id").alias("doc_id") if "doc_id" not in keep else F.col("doc_id"), *[c for c in keep if c != "doc_id"], F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+            scores = [one(t.as_py() or "") for t in batch.column(1)]
+            columns = [c for i, c in enumerate(batch.columns) if i != 1 or texted]
+            names = [c for i, c in enumerate(batch.schema.names) if i != 1 or texted]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*names, "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text" or texted)
+    out = rows.mapInArrow(run, f"{schema}, score double")
+    fold = fraction_of_crc("doc_id", mod)
+    return out.select("doc_id", *keep, F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tessera.llm import bpe, toxicity
@@ -35,7 +36,7 @@ def minhash_brute(rows, words, num, den):
 
 
 def test_stages_against_brute_force(spark, small, odd_docs):
-    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(odd_docs, allowMissingColumns=True)
+    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(odd_docs.withColumn("doc_id", F.col("doc_id") + 100_000), allowMissingColumns=True)
     labels = spark.read.parquet(f"{small}/labels.parquet")
     columns = docs.columns
     steps = dict(pipeline.STAGES)
