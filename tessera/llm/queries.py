@@ -73,5 +73,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _shingles_sql(table_name: str, key: str) -> str:
+    """(key, s): distinct five-word shingles of each row; a key that repeats is one set here, which the given tables do not have."""
+    return rf"""SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x != '') AS w FROM {table_name}) WHERE len(w) >= 5"""
+
+
+CONTAMINATION_SQL = f"""WITH d AS ({_shingles_sql('documents', 'doc_id')}), q AS ({_shingles_sql('benchmark', 'item_id')}),
+n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id)
+SELECT doc_id, item_id, any_value(n_item) AS n_item, count(*) AS n_shared FROM d JOIN q USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_contamination": CONTAMINATION_SQL}
