@@ -30,7 +30,7 @@ from .common import id_text
 #: Characters that a match may look at beyond its own end (the longest contraction has three).
 LOOKAHEAD = 4
 #: Distinct pre-tokens whose ids a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 class _Pieces(dict):

@@ -29,11 +29,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of one Arrow batch while a staged table is made: rows with whole texts or sets are large.
+BATCH_BYTES = 16_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH, None)  # None where the session has not set it
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

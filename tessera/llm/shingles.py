@@ -11,7 +11,7 @@ import xxhash
 #: Independent odd multipliers, one for each place of a word in its shingle.
 _PLACES = np.random.default_rng(11).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Distinct words whose hashes a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 class _Words(dict):

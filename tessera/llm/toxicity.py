@@ -29,7 +29,7 @@ from .sampling import labelled
 #: Lengths of the word beginnings that are features.
 LENGTHS = (3, 4, 5, 6)
 _EDGES = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¿¡«»“”’…"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def beginnings(word: str) -> list[str]:
