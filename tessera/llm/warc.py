@@ -3,7 +3,7 @@
 Records are sorted by page id (ties by payload digest) over range partitions, and every record becomes one
 gzip member.  Files roll by compressed size: a record's shard is the number of whole ``roll_bytes``
 in the compressed sizes of all records before it, a sum over the sorted order that
-does not depend on partitions.  Record ids derive from page id and digest, and the date is a parameter, so the
+does not depend on partitions; records equal in id and digest share a shard.  Record ids derive from page id and digest, and the date is a parameter, so the
 same pages give the same bytes in every file.
 
 Spark's committer writes each file under a temporary name; the files then move to their final
@@ -23,6 +23,7 @@ columns are ignored; an empty table gives an empty archive with a manifest.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import re
@@ -88,9 +89,12 @@ def _digested(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, roll_bytes: int = 16_000_000, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> list[dict]:
     """Write pages(page_id, url, html) below ``path`` and return the manifest's entries."""
     spark = pages.sparkSession
-    rows = stage(_digested(pages), "pages")
-    groups = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    marked = rows.join(groups.select(F.col("digest").alias("d"), F.col("size").alias("s"), "first", "first_url"), (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
+    # payloads are digested and packed once for the plan and once for the files; only keys are staged
+    rows = _digested(pages)
+    keys = stage(rows.select("page_id", "url", "digest", "size"), "keys")
+    groups = keys.where(F.col("size") >= least_bytes).groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    groups = stage(groups, "groups")
+    marked = rows.join(groups, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
 
     def pack(batches):
@@ -99,33 +103,57 @@ def write(pages: DataFrame, path: str, roll_bytes: int = 16_000_000, least_bytes
             data = [_member(record(i, u, p, d, "revisit" if r else "response", f if r else None, (g or "") if r else "", date)) for i, u, p, d, r, f, g in zip(*page)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("digest"), pa.array(data, pa.binary()), pa.array([len(x) for x in data], pa.int64())], ["page_id", "digest", "member", "length"])
 
-    chosen = marked.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), "first", "first_url")
-    packed = chosen.mapInArrow(pack, "page_id long, digest string, member binary, length long")
-    # sums of the sorted order: inside a range partition, then over the partitions' totals (one row each)
-    spread = packed.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "member")
+    packed = marked.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), "first", "first_url").mapInArrow(pack, "page_id long, digest string, member binary, length long")
+    lengths = stage(packed.select("page_id", "digest", "length"), "lengths")
+    starts = _shard_starts(lengths, roll_bytes)
+
+    def assign(batches):
+        for batch in batches:
+            where = [bisect.bisect_right(starts, _order(i, d)) - 1 for i, d in zip(batch.column("page_id").to_pylist(), batch.column("digest").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where, pa.int64())], [*batch.schema.names, "shard"])
+
+    placed = packed.mapInArrow(assign, "page_id long, digest string, member binary, length long, shard long")
+    scratch = f"{path}/_scratch-{uuid.uuid4().hex}"
+    spread = placed.repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "member")
+    spread.select("shard", F.col("member").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", _SEPARATOR).option("encoding", "ISO-8859-1").text(scratch)
+    listed = lengths.mapInArrow(_sharded(starts), "shard long, length long").groupBy("shard").agg(F.count(F.lit(1)).alias("records"), F.sum("length").alias("bytes")).orderBy("shard").collect()
+    return _commit(spark, path, scratch, [r.asDict() for r in listed])
+
+
+def _order(page_id: int | None, digest: str) -> tuple:
+    """Null ids first, as Spark sorts them."""
+    return (page_id is not None, page_id or 0, digest)
+
+
+def _sharded(starts: list[tuple]):
+    def run(batches):
+        for batch in batches:
+            where = [bisect.bisect_right(starts, _order(i, d)) - 1 for i, d in zip(batch.column("page_id").to_pylist(), batch.column("digest").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), batch.column("length")], ["shard", "length"])
+
+    return run
+
+
+def _shard_starts(lengths: DataFrame, roll_bytes: int) -> list[tuple]:
+    """The first key of every shard: one entry for each file that will be written."""
 
     def number(batches):
-        at = place = 0
+        at = 0
         for batch in batches:
-            sizes = batch.column("length").to_pylist()
             before = []
-            for x in sizes:
+            for x in batch.column("length").to_pylist():
                 before.append(at)
                 at += x
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64()), pa.array(range(place, place + len(sizes)), pa.int64())], [*batch.schema.names, "before", "place"])
-            place += len(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*batch.schema.names, "before"])
 
-    ordered = spread.mapInArrow(number, "page_id long, digest string, member binary, length long, before long, place long").withColumn("part", F.spark_partition_id())
-    ordered = stage(ordered, "records")
-    totals = ordered.groupBy("part").agg(F.sum("length").alias("total"), F.count(F.lit(1)).alias("many"))
+    # sums of the sorted order: inside a range partition, then over the partitions' totals (one row each)
+    spread = lengths.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "length")
+    ordered = stage(spread.mapInArrow(number, "page_id long, digest string, length long, before long").withColumn("part", F.spark_partition_id()), "ordered")
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("start"), F.coalesce(F.sum("many").over(w), F.lit(0)).alias("start_no"))
-    placed = ordered.join(F.broadcast(starts), "part").select("member", "length", F.floor((F.col("start") + F.col("before")) / roll_bytes).cast("long").alias("shard"), (F.col("start_no") + F.col("place")).alias("no"))
-    placed = placed.repartition("shard").sortWithinPartitions("shard", "no")
-    scratch = f"{path}/_scratch-{uuid.uuid4().hex}"
-    placed.select("shard", F.col("member").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", _SEPARATOR).option("encoding", "ISO-8859-1").text(scratch)
-    listed = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("records"), F.sum("length").alias("bytes")).orderBy("shard").collect()
-    return _commit(spark, path, scratch, [r.asDict() for r in listed])
+    offsets = ordered.groupBy("part").agg(F.sum("length").alias("total")).select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("start"))
+    shard = F.floor((F.col("start") + F.col("before")) / roll_bytes)
+    first = ordered.join(F.broadcast(offsets), "part").groupBy(shard.alias("shard")).agg(F.min(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "digest")).alias("key"))
+    return sorted({_order(r["key"]["page_id"], r["key"]["digest"]) for r in first.collect()})
 
 
 def _commit(spark: SparkSession, path: str, scratch: str, shards: list[dict]) -> list[dict]:
@@ -203,4 +231,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], [s.split()[0] for s in schema.split(", ")])
 
     files = spark.read.format("binaryFile").load([f"{path}/{n}" for n in names]).select("content")
-    return files.repartition(max(1, len(names))).mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
