@@ -8,9 +8,10 @@
 3. An audit compares a bounded set of nodes with all rows in blocks.  While it finds a recall of links below
    ``least_recall``, further rounds follow, up to ``max_rounds``.
 4. List entries with cosine >= threshold are links.  A node with ``k`` links or more is saturated:
-   its list is enlarged to its whole region, the saturated nodes connected with it, compared
-   chunk by chunk.  Chunks whose centres lie too far apart for their radii are passed over, which loses
-   nothing.  Counts, not pairs, leave these comparisons.
+   its list is enlarged to all saturated nodes, compared chunk by chunk.  A chunk holds nodes of one region
+   (saturated nodes connected by links), and is compared with the chunks of its own and of all other regions.  Chunks
+   whose centres lie too far apart for their radii are passed over, which loses nothing.  Counts
+   leave these comparisons, and one edge for regions that turn out to be linked.
 
 Defined results: a vector that is null, zero or holds null or non-finite components has no links, is its own
 component and is kept; a null id keeps a null component; equal vectors link with one another; rows with equal ids are separate
@@ -199,60 +200,143 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, k: int, size: in
     return (got / want) if want else 1.0
 
 
-def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold: float, chunk: int = 256) -> DataFrame:
-    """(node, more): for every saturated node the copies of saturated nodes of its region that it links with."""
-    inside = links.join(saturated.select(F.col("node").alias("a")), "a", "left_semi").join(saturated.select(F.col("node").alias("b")), "b", "left_semi")
-    root = components(inside.select("a", "b"), "regions")
-    members = saturated.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "unit", "copies", "low"), "node")
+def _angle(cosine):
+    return np.arccos(np.clip(cosine, -1, 1))
 
-    def angle(a, b):
-        return np.arccos(np.clip(a @ b, -1, 1))
 
-    def pack(batches):
-        region, ids, rows, copies = None, [], [], []
+def _pack(members: DataFrame, chunk: int) -> DataFrame:
+    """Chunks of at most ``chunk`` nodes of one region; (region, by, node) is the order, best the node nearest the centre."""
+
+    def run(batches):
+        region, rows = None, []
 
         def out():
-            if ids:
-                x = np.stack(rows)
+            if rows:
+                x = np.stack([r[3] for r in rows])
                 centre = x.mean(axis=0)
                 norm = np.sqrt(centre @ centre)
                 centre = centre / norm if norm > 1e-9 else x[0]
-                radius = float(max(angle(x, centre)))
-                yield pa.RecordBatch.from_arrays([pa.array([region], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([copies], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([radius])], ["region", "chunk", "ids", "copies", "x", "centre", "radius"])
+                apart = _angle(x @ centre)
+                best = int(apart.argmin())
+                lists = [pa.array([[r[i] for r in rows]], pa.list_(pa.int64())) for i in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([region], pa.int64()), pa.array([rows[0][0]], pa.int64()), *lists, pa.array([x.tobytes()], pa.binary()), pa.array([centre.tobytes()], pa.binary()), pa.array([float(apart.max())]), pa.array([rows[best][0]], pa.int64()), pa.array([x[best].tobytes()], pa.binary())], ["region", "chunk", "ids", "roots", "copies", "x", "centre", "radius", "best", "unit"])
 
         for batch in batches:
-            for root_, node, unit, n in zip(batch.column("root").to_numpy(), batch.column("node").to_numpy(), batch.column("unit"), batch.column("copies").to_numpy()):
-                if root_ != region or len(ids) >= chunk:
+            for of, node, root, n, unit in zip(*(batch.column(c).to_numpy() for c in ("region", "node", "root", "copies")), batch.column("unit")):
+                if of != region or len(rows) >= chunk:
                     yield from out()
-                    region, ids, rows, copies = int(root_), [], [], []
-                ids.append(int(node))
-                rows.append(np.frombuffer(unit.as_buffer(), dtype=np.float64))
-                copies.append(int(n))
+                    region, rows = int(of), []
+                rows.append((int(node), int(root), int(n), np.frombuffer(unit.as_buffer(), dtype=np.float64)))
         yield from out()
 
-    # neighbouring chunks of a region hold like vectors: ordered by the signs of a few random planes
-    spread = members.select("root", "node", "unit", "copies").repartitionByRange("root", "node").sortWithinPartitions("root", "node")
-    packed = stage(spread.mapInArrow(pack, "region long, chunk long, ids array<long>, copies array<long>, x binary, centre binary, radius double"), "chunks")
+    spread = members.select("region", "by", "node", "root", "copies", "unit").repartitionByRange("region", "by", "node").sortWithinPartitions("region", "by", "node")
+    return spread.mapInArrow(run, "region long, chunk long, ids array<long>, roots array<long>, copies array<long>, x binary, centre binary, radius double, best long, unit binary")
+
+
+def _across(packed: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """(a, b, linked) of chunks of different regions: pairs whose centres and radii allow a link, and links of their best nodes.
+
+    Every chunk is compared with every other, in blocks of their centres.  Of the links of best nodes at most one
+    for each chunk of a pair of blocks is returned.
+    """
+    heads = packed.select("region", "chunk", "centre", "radius", "best", "unit")
+    parts = -(-heads.count() // block)
+
+    def gather(batches):
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        for at in range(0, len(rows), block):
+            part = rows[at : at + block]
+            yield pa.RecordBatch.from_arrays([pa.array([part[0]["chunk"]], pa.int64()), *(pa.array([[r[c] for r in part]]) for c in ("region", "chunk", "radius", "best")), *(pa.array([b"".join(r[c] for r in part)], pa.binary()) for c in ("centre", "unit"))], ["block", "region", "chunk", "radius", "best", "centre", "unit"])
+
+    blocks = stage(heads.repartition(max(parts, 1)).mapInArrow(gather, "block long, region array<long>, chunk array<long>, radius array<double>, best array<long>, centre binary, unit binary"), "blocks")
     reach = float(np.arccos(threshold))
 
     def compare(batches):
         for batch in batches:
-            ids, more = [], []
             for row in batch.to_pylist():
-                c1, c2 = np.frombuffer(row["centre"]), np.frombuffer(row["centre2"])
-                if angle(c1, c2) > row["radius"] + row["radius2"] + reach + 1e-6:
+                one, two = ({c: np.frombuffer(row[c + s]).reshape(len(row["chunk" + s]), -1) if c in ("centre", "unit") else np.array(row[c + s]) for c in ("region", "chunk", "radius", "best", "centre", "unit")} for s in ("", "2"))
+                apart = one["region"][:, None] != two["region"][None, :]
+                if row["block"] == row["block2"]:
+                    apart = np.triu(apart)
+                i, j = np.nonzero(apart & (_angle(one["centre"] @ two["centre"].T) <= one["radius"][:, None] + two["radius"][None, :] + reach + 1e-6))
+                yield pa.RecordBatch.from_arrays([pa.array(one["chunk"][i]), pa.array(two["chunk"][j]), pa.array(np.zeros(len(i), dtype=bool))], ["a", "b", "linked"])
+                s = apart & (one["unit"] @ two["unit"].T >= threshold)
+                i, j = np.flatnonzero(s.any(axis=1)), np.flatnonzero(s.any(axis=0))
+                i, j = np.concatenate([i, s.argmax(axis=0)[j]]), np.concatenate([s.argmax(axis=1)[i], j])
+                yield pa.RecordBatch.from_arrays([pa.array(one["best"][i]), pa.array(two["best"][j]), pa.array(np.ones(len(i), dtype=bool))], ["a", "b", "linked"])
+
+    other = blocks.select(*(F.col(c).alias(c + "2") for c in blocks.columns))
+    pairs = blocks.join(other, F.col("block") <= F.col("block2")).mapInArrow(compare, "a long, b long, linked boolean")
+    return stage(pairs, "across")
+
+
+def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(node, to, more, near) of pairs of chunks.
+
+    Where ``to`` is null: the links of a node, as copies and as nodes.  Else node and to are roots with a link between them.
+    """
+    reach = float(np.arccos(threshold))
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            edges = set()
+            for row in batch.to_pylist():
+                if _angle(np.frombuffer(row["centre"]) @ np.frombuffer(row["centre2"])) > row["radius"] + row["radius2"] + reach + 1e-6:
                     continue
-                n = len(row["ids"])
-                x, y = np.frombuffer(row["x"]).reshape(n, -1), np.frombuffer(row["x2"]).reshape(len(row["ids2"]), -1)
+                x, y = (np.frombuffer(row["x" + c]).reshape(len(row["ids" + c]), -1) for c in ("", "2"))
                 s = x @ y.T >= threshold
-                if row["chunk"] == row["chunk2"]:
+                same = row["chunk"] == row["chunk2"]
+                if same:
                     np.fill_diagonal(s, False)
-                ids.extend(row["ids"])
-                more.extend((s @ np.array(row["copies2"], dtype=np.int64)).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(more, pa.int64())], ["node", "more"])
-
-    other = packed.select("region", F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"), F.col("x").alias("x2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"))
-    return packed.join(other, "region").mapInArrow(compare, "node long, more long").groupBy("node").agg(F.sum("more").alias("more"))
+                for ids, t, copies in ((row["ids"], s, row["copies2"]),) if same else ((row["ids"], s, row["copies2"]), (row["ids2"], s.T, row["copies"])):
+                    near = t.sum(axis=1)
+                    hit = np.flatnonzero(near)
+                    out[0].append(np.array(ids, dtype=np.int64)[hit])
+                    out[1].append((t @ np.array(copies, dtype=np.int64))[hit])
+                    out[2].append(near[hit])
+                r1, r2 = np.array(row["roots"]), np.array(row["roots2"])
+                i, j = np.nonzero(s & (r1[:, None] != r2[None, :]))
+                if len(i):
+                    edges.update(map(tuple, np.unique(np.stack([r1[i], r2[j]], axis=1), axis=0).tolist()))
+            node, more, near = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out[:3])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(more, pa.int64()), pa.array(near, pa.int64())], ["node", "to", "more", "near"])
+            if edges:
+                a, b = zip(*edges)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array([0] * len(a), pa.int64())], ["node", "to", "more", "near"])
+
+    return pairs.mapInArrow(run, "node long, to long, more long, near long").groupBy("node", "to").agg(F.sum("more").alias("more"), F.sum("near").alias("near"))
+
+
+def _side(packed: DataFrame, suffix: str) -> DataFrame:
+    return packed.select(*(F.col(c).alias(c + suffix) for c in ("chunk", "ids", "roots", "copies", "x", "centre", "radius")), "region")
+
+
+def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold: float, chunk: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(node, more, near), the links of every saturated node with all saturated nodes, as copies and as nodes; and edges (a, b) that join their regions."""
+    inside = links.join(saturated.select(F.col("node").alias("a")), "a", "left_semi").join(saturated.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    full = saturated.join(nodes.select("node", "unit", "copies"), "node")
+
+    def members(edges: DataFrame) -> DataFrame:
+        return full.join(components(edges, "regions"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    packed = stage(_pack(members(inside).withColumn("region", F.col("root")).withColumn("by", F.lit(0)), chunk), "chunks")
+    across = _across(packed, threshold)
+    # regions whose best nodes link are one: their chunks then meet by the region, without a row for each pair
+    joins = across.where("linked").select("a", "b")
+    if joins.limit(1).count():
+        first = packed.select(F.explode(F.arrays_zip("ids", "roots")).alias("m")).select(F.col("m.ids").alias("node"), F.col("m.roots").alias("by"))
+        merged = members(inside.unionAll(joins)).withColumn("region", F.col("root")).join(first, "node")
+        packed = stage(_pack(merged, chunk), "chunks")
+        across = _across(packed, threshold)
+    left, right = _side(packed, ""), _side(packed, "2")
+    within = left.join(right, "region").where("chunk <= chunk2").drop("region")
+    pairs = across.where("not linked").select(F.col("a").alias("chunk"), F.col("b").alias("chunk2"))
+    between = pairs.join(left.drop("region"), "chunk").join(right.drop("region"), "chunk2").select(*within.columns)
+    counted = _compared(within, threshold).unionByName(_compared(between, threshold))
+    counted = stage(counted, "region-links")
+    more = counted.where("to is null").groupBy("node").agg(F.sum("more").alias("more"), F.sum("near").alias("near"))
+    return more, joins.unionAll(counted.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = 16, orders: int = 8, block: int = 256, max_rounds: int = 6, least_recall: float = 0.99, audited: int = 512) -> DataFrame:
@@ -280,12 +364,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = 16, orders
                 break
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
     saturated = stage(ends.groupBy("node").count().where(F.col("count") >= k).select("node"), "saturated")
-    region_links = _regions(links, saturated, nodes, threshold)
-    # of a saturated node's listed links, those with saturated nodes are counted by its region
+    region_links, joins = _regions(links, saturated, nodes, threshold)
+    # of a saturated node's listed links, those with saturated nodes are counted by the regions
     marked = saturated.select(F.col("node"), F.lit(True).alias("full"))
     listed = ends.join(marked, "node", "left").join(marked.select(F.col("node").alias("to"), F.col("full").alias("to_full")), "to", "left")
     listed = listed.where("full is null or to_full is null").join(nodes.select(F.col("node").alias("to"), F.col("copies")), "to").groupBy("node").agg(F.sum("copies").alias("listed"))
-    roots = components(links.select("a", "b"))
+    roots = components(links.select("a", "b").unionAll(joins))
     whole = nodes.select("node", "key", "low", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("low").alias("component_id"))
     known = whole.join(lowest, "root").join(listed, "node", "left").join(region_links, "node", "left")

@@ -40,6 +40,31 @@ def test_against_brute_force(spark):
     assert got == brute(rows, 0.9)
 
 
+def nested(rng, centre, groups, size, wide, tight):
+    """Groups of near copies, each tighter than the distance between the groups."""
+    return [g + tight * rng.standard_normal(16) for g in (centre + wide * rng.standard_normal(16) for _ in range(groups)) for _ in range(size)]
+
+
+def test_links_between_tight_groups_of_more_than_k(spark):
+    rng = np.random.default_rng(3)
+    rows = nested(rng, rng.standard_normal(16), 6, 20, 0.03, 0.005)  # all groups linked with one another
+    a = rng.standard_normal(16)
+    a /= np.linalg.norm(a)
+    b = rng.standard_normal(16)
+    b -= (b @ a) * a
+    b /= np.linalg.norm(b)
+    turn = np.arccos(0.9)
+    for c in (a, np.cos(turn) * a + np.sin(turn) * b):  # some of the pairs of these two groups are links
+        rows += [c + 0.02 * rng.standard_normal(16) for _ in range(30)]
+    turn *= 1.04
+    for c in (a, np.cos(turn) * a + np.sin(turn) * b):  # centres further apart than the threshold
+        rows += [-c + 0.02 * rng.standard_normal(16) for _ in range(30)]
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, nndescent.near_duplicates(docs, k=8, block=32).collect()))
+    assert got == brute(rows, 0.9)
+
+
 def test_empty_table_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert nndescent.near_duplicates(spark.createDataFrame([], schema)).count() == 0
