@@ -5,13 +5,14 @@
 2. Rounds of NN-descent: every node joins its neighbours and reverse neighbours with one another; a
    pair that beats the worst entry of one's list enters it.  Rounds end when few lists change.
    These rounds compare vectors rounded to eight bits; everything below is in double precision.
-3. An audit compares a bounded set of nodes with all rows in blocks.  While it finds a recall of links below
-   ``least_recall``, further rounds follow, up to ``max_rounds``.
-4. List entries with cosine >= threshold are links.  A node with ``k`` links or more is saturated:
+3. List entries with cosine >= threshold are links.  A node with ``k`` links or more is saturated:
    its list is enlarged to all saturated nodes, compared chunk by chunk.  A chunk holds nodes of one region
    (saturated nodes connected by links), and is compared with the chunks of its own and of all other regions.  Chunks
    whose centres lie too far apart for their radii are passed over, which loses nothing.  Counts
    leave these comparisons, and one edge for regions that turn out to be linked.
+4. An audit compares a bounded set of nodes with all rows in blocks.  While it finds a recall of these links below
+   ``least_recall``, the search goes on with lists of twice the length and further random orders.  After
+   ``searches`` of them all nodes are compared with one another.
 
 Defined results: a vector that is null, zero or holds null or non-finite components has no links, is its own
 component and is kept; a null id keeps a null component; equal vectors link with one another; rows with equal ids are separate
@@ -73,9 +74,9 @@ def _pairs_table(a, b, sim) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a), pa.int64()), pa.array(np.asarray(b), pa.int64()), pa.array(np.asarray(sim, dtype=np.float32))], ["v", "u", "sim"])
 
 
-def _start(nodes: DataFrame, dim: int, k: int, orders: int, block: int) -> DataFrame:
+def _start(nodes: DataFrame, dim: int, k: int, orders: int, block: int, seed: int = 5) -> DataFrame:
     """(v, u, sim): best neighbours inside blocks of random orders."""
-    rng = np.random.default_rng(5)
+    rng = np.random.default_rng(seed)
     planes = rng.standard_normal((orders, 16, dim)).astype(np.float32)
     lines = rng.standard_normal((orders, dim)).astype(np.float32)
 
@@ -175,11 +176,8 @@ def _listed(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return _confirm(near, nodes, threshold)
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, k: int, size: int) -> float:
-    """Recall of the lists on at most ``size`` nodes, taken by the hash of their number, against all rows.
-
-    A node with k links or more counts as fully found: its region is compared exactly afterwards.
-    """
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int) -> float:
+    """Recall of the final links, counted (node, near), on at most ``size`` nodes, taken by the hash of their number, against all rows."""
     chosen = nodes.select("node", "unit").orderBy(F.xxhash64("node"), "node").limit(size).toArrow()
     if not chosen.num_rows:
         return 1.0
@@ -194,9 +192,8 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, k: int, size: in
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "true_links"])
 
     true = nodes.select("node", "unit").mapInArrow(run, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    both = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("found"))
-    met = true.join(both, "node", "left").select("true_links", F.coalesce("found", F.lit(0)).alias("found"))
-    got, want = met.agg(F.sum(F.when(F.col("found") >= k, F.col("true_links")).otherwise(F.col("found"))), F.sum("true_links")).first()
+    met = true.join(counted.select("node", "near"), "node", "left")
+    got, want = met.agg(F.sum(F.least(F.coalesce("near", F.lit(0)), "true_links")), F.sum("true_links")).first()
     return (got / want) if want else 1.0
 
 
@@ -312,6 +309,16 @@ def _side(packed: DataFrame, suffix: str) -> DataFrame:
     return packed.select(*(F.col(c).alias(c + suffix) for c in ("chunk", "ids", "roots", "copies", "x", "centre", "radius")), "region")
 
 
+def _everything(links: DataFrame, nodes: DataFrame, threshold: float, chunk: int = 256, parts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """As _regions, for all nodes as one region, dealt over ``parts`` tasks: exact at a cost quadratic in the nodes."""
+    members = nodes.select("node", "unit", "copies").join(components(links.select("a", "b"), "regions"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    packed = stage(_pack(members.withColumn("region", F.lit(0).cast("long")).withColumn("by", F.col("root")), chunk), "chunks")
+    left = _side(packed, "").withColumn("region", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
+    right = _side(packed, "2").withColumn("region", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    counted = stage(_compared(left.join(right, "region").where("chunk <= chunk2").drop("region"), threshold), "region-links")
+    return counted.where("to is null").select("node", "more", "near"), counted.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
+
+
 def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold: float, chunk: int = 256) -> tuple[DataFrame, DataFrame]:
     """(node, more, near), the links of every saturated node with all saturated nodes, as copies and as nodes; and edges (a, b) that join their regions."""
     inside = links.join(saturated.select(F.col("node").alias("a")), "a", "left_semi").join(saturated.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
@@ -339,7 +346,18 @@ def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold
     return more, joins.unionAll(counted.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = 16, orders: int = 8, block: int = 256, max_rounds: int = 6, least_recall: float = 0.99, audited: int = 512) -> DataFrame:
+def _found(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, more, near), all links found of each node, as copies and as nodes; and edges (a, b) beside the listed links."""
+    region_links, joins = _regions(links, saturated, nodes, threshold)
+    # of a saturated node's listed links, those with saturated nodes are counted by the regions
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    marked = saturated.select(F.col("node"), F.lit(True).alias("full"))
+    listed = ends.join(marked, "node", "left").join(marked.select(F.col("node").alias("to"), F.col("full").alias("to_full")), "to", "left")
+    listed = listed.where("full is null or to_full is null").join(nodes.select(F.col("node").alias("to"), F.col("copies")), "to").groupBy("node").agg(F.sum("copies").alias("more"), F.count(F.lit(1)).alias("near"))
+    return listed.unionByName(region_links).groupBy("node").agg(F.sum("more").alias("more"), F.sum("near").alias("near")), joins
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = 16, orders: int = 8, block: int = 256, max_rounds: int = 6, least_recall: float = 0.99, audited: int = 512, searches: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings(vec_id, embedding)."""
     keyed = stage(_usable(rows), "vectors")
     sizes = keyed.where("key is not null").groupBy(F.octet_length("key").alias("bytes")).count().orderBy(F.desc("count"), "bytes").limit(1).collect()
@@ -348,32 +366,35 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = 16, orders
     classes = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     # written once: a node's number stays the same
     nodes = stage(_units(classes.select("node", "key", "low", "copies")), "nodes")
-    lists = stage(_best(_start(nodes, width // 8, k, orders, block), k), "lists")
     changed_below = 0.002
     total = max(nodes.count(), 1)
-    links = None
-    for at in range(max_rounds):
-        found = _round(lists, nodes, k)
-        new = stage(_best(found.unionByName(lists), k), "lists")
-        changed = new.join(lists.select("v", "u"), ["v", "u"], "left_anti").where(F.col("sim") >= threshold - 0.03).count()
-        drop_stage(lists)
-        lists = new
-        if changed <= changed_below * total or at == max_rounds - 1:
-            links = stage(_listed(lists, nodes, threshold), "links")
-            if audit(nodes, links, threshold, k, audited) >= least_recall:
+    lists, links = None, None
+    for search in range(searches):
+        size = k << search
+        begun = _start(nodes, width // 8, size, orders, block, 5 + search)
+        lists = stage(_best(begun if lists is None else begun.unionByName(lists), size), "lists")
+        for _ in range(max_rounds):
+            found = _round(lists, nodes, size)
+            new = stage(_best(found.unionByName(lists), size), "lists")
+            changed = new.join(lists.select("v", "u"), ["v", "u"], "left_anti").where(F.col("sim") >= threshold - 0.03).count()
+            drop_stage(lists)
+            lists = new
+            if changed <= changed_below * total:
                 break
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
-    saturated = stage(ends.groupBy("node").count().where(F.col("count") >= k).select("node"), "saturated")
-    region_links, joins = _regions(links, saturated, nodes, threshold)
-    # of a saturated node's listed links, those with saturated nodes are counted by the regions
-    marked = saturated.select(F.col("node"), F.lit(True).alias("full"))
-    listed = ends.join(marked, "node", "left").join(marked.select(F.col("node").alias("to"), F.col("full").alias("to_full")), "to", "left")
-    listed = listed.where("full is null or to_full is null").join(nodes.select(F.col("node").alias("to"), F.col("copies")), "to").groupBy("node").agg(F.sum("copies").alias("listed"))
+        links = stage(_listed(lists, nodes, threshold), "links")
+        ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
+        saturated = stage(ends.groupBy("node").count().where(F.col("count") >= size).select("node"), "saturated")
+        counted, joins = _found(links, saturated, nodes, threshold)
+        counted = stage(counted, "counted")
+        if audit(nodes, counted, threshold, audited) >= least_recall:
+            break
+    else:
+        counted, joins = _everything(links, nodes, threshold)
     roots = components(links.select("a", "b").unionAll(joins))
     whole = nodes.select("node", "key", "low", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = whole.join(lowest, "root").join(listed, "node", "left").join(region_links, "node", "left")
-    known = known.select("key", "component_id", (F.coalesce("listed", F.lit(0)) + F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = whole.join(lowest, "root").join(counted, "node", "left")
+    known = known.select("key", "component_id", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = keyed.join(known, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

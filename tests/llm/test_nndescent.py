@@ -65,6 +65,24 @@ def test_links_between_tight_groups_of_more_than_k(spark):
     assert got == brute(rows, 0.9)
 
 
+def test_audit_sees_lost_links_and_the_search_goes_on(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = nested(rng, rng.standard_normal(16), 3, 12, 0.03, 0.005) + [rng.standard_normal(16) for _ in range(20)]
+    rows = [(i, [float(np.float32(y)) for y in v]) for i, v in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    regions = nndescent._regions
+    recall = []
+
+    def nothing(*args):  # regions that find no link
+        return tuple(x.where("false") for x in regions(*args))
+
+    audit = nndescent.audit
+    monkeypatch.setattr(nndescent, "_regions", nothing)
+    monkeypatch.setattr(nndescent, "audit", lambda *args: recall.append(audit(*args)) or recall[-1])
+    got = sorted(map(tuple, nndescent.near_duplicates(docs, k=4, block=32, max_rounds=1, searches=1).collect()))
+    assert recall[0] < 0.5 and got == brute(rows, 0.9)
+
+
 def test_empty_table_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert nndescent.near_duplicates(spark.createDataFrame([], schema)).count() == 0
