@@ -39,7 +39,7 @@ def _words(line: str) -> tuple[float, float, float, float]:
     n = len(w)
     if not n:
         return 0.0, 1.0, 0.0, 0.0
-    return float(n), len(set(w)) / n, sum(x.isupper() for x in w[:50]) / min(n, 50), len(line) / n
+    return float(n), len(set(w)) / n, sum(x.isupper() for x in w) / n, len(line) / n
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

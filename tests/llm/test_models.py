@@ -57,6 +57,11 @@ def test_chain_marginals_equal_enumeration():
         at += c
 
 
+def test_upper_case_share_is_of_all_words_of_a_line():
+    features, _, _ = quality.line_features(["low " * 50 + "HIGH " * 150])
+    assert features[0, 1 + len(quality._CLASSES) + 3] == 0.75
+
+
 def test_label_model_counts_repeating_voters_once():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.2
