@@ -2,12 +2,14 @@
 
 A text is its UTF-8 bytes, A-Z lower-cased as for the base, and an end.  Each symbol is decomposed into binary decisions (end or not, then
 eight bits from the top); every decision has a tree of contexts, the preceding bytes up to ``depth``.
-The training corpus is aggregated to counts of (context, symbol).  A context of any depth is a
-node of the tree if it makes up at least 1/``contexts`` of all positions, so each depth has at most
-``contexts`` nodes at any size of the corpus; what lies below a node but in no node of the next depth is that node's
-leaf for the rest.  The weighted probability of a node mixes its Krichevsky-Trofimov estimate with the
-product of its children's, bottom-up; the same weights give the predictive probability of every symbol in
-every leaf, and the log10 probability of a text is their sum (code length in bits per byte: minus log2, by length).
+The training corpus is aggregated to counts of (context, symbol).  Every context that occurs is a node of the
+tree, at every depth.  The weighted probability of a node mixes its Krichevsky-Trofimov estimate with the
+product of its children's, bottom-up; the same weights give the predictive probability of every decision in
+every node, top-down.  Both run as aggregations and joins keyed by (context, decision), one depth at a time; a decision
+without counts in a context has weighted probability one and predicts one half.  The log10 probability of a text is
+the sum over its symbols (code length in bits per byte: minus log2, by length).  The n-grams that make
+up at least 1/(16 * ``contexts``) of all positions are broadcast with their log10 probability; all others meet
+theirs in a join.
 
 Base score: add-one unigrams on words.  Counts are aggregated over the corpus.  Words that make up
 at least 1/``head`` of all tokens, at most ``head`` of them, are broadcast; all others meet their counts in a join.
@@ -24,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_of_crc, id_text, stage
+from .common import drop_stage, fraction_of_crc, id_text, stage
 
 END = 256
 #: Kinds of counted keys.
@@ -59,6 +62,12 @@ def ngrams(texts: list[bytes], depth: int) -> np.ndarray:
 
 def counts(docs: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n) over all documents: n-grams of bytes and hashes of words."""
+    each = docs.select("text", F.lit(False).alias("held_out"))
+    return both_counts(each, depth).select("kind", "key", "n")
+
+
+def both_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(kind, key, n, met) of documents (text, held_out): n-grams of bytes and hashes of words; n over training documents, met over all."""
 
     def run(batches):
         words, grams, size = Counter(), [], 0
@@ -100,7 +109,17 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
                     yield from tables()
         yield from tables()
 
-    return docs.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def split(batches):
+        for batch in batches:
+            held = batch.column("held_out")
+            for value in (False, True):
+                part = batch.filter(pc.equal(held, value))
+                if part.num_rows:
+                    for out in run([part]):
+                        n = out.column("n") if not value else pa.array(np.zeros(out.num_rows, dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([out.column("kind"), out.column("key"), n, out.column("n")], ["kind", "key", "n", "met"])
+
+    return docs.select("text", "held_out").mapInArrow(split, "kind int, key long, n long, met long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -238,36 +257,89 @@ def _mix(leaf: np.ndarray, inner: np.ndarray, parent_of_leaf: np.ndarray, parent
     return np.clip(p, 1e-7, 1 - 1e-7)
 
 
-def fit_tree(grams: DataFrame, depth: int, contexts: int) -> Tree:
-    """The tree of n-gram counts (key, n).  To the driver come at most ``contexts`` nodes a depth and the counts of the leaves."""
-    rows = grams.select((F.shiftright("key", 9)).alias("context"), F.col("key").bitwiseAND(511).cast("int").alias("symbol"), "n")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total / contexts))
-    nodes, known = [np.zeros(1, dtype=np.int64)], rows.withColumn("at", F.lit(0)).withColumn("node", F.lit(0).cast("long"))
+def _decided(symbol) -> list[tuple]:
+    """(decision, one) of each of the nine decisions on the way to a symbol; those after the end are null."""
+    out = [(F.lit(0), (symbol == END).cast("int"))]
+    for level in range(8):
+        decision = F.when(symbol != END, F.lit(1 << level) + F.shiftright(symbol, 8 - level))
+        out.append((decision, F.shiftright(symbol, 7 - level).bitwiseAND(1)))
+    return out
+
+
+def _exploded(grams: DataFrame, *others: str) -> DataFrame:
+    """(*others, context, decision, one) for every decision of every n-gram (key)."""
+    symbol = F.col("key").bitwiseAND(511).cast("int")
+    steps = F.array(*(F.struct(d.cast("int").alias("decision"), one.alias("one")) for d, one in _decided(symbol)))
+    return grams.select(*others, F.shiftright("key", 9).alias("context"), F.explode(steps).alias("d")).select(*others, "context", "d.decision", "d.one").where("decision is not null")
+
+
+def _suffix(d: int):
+    return F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1))
+
+
+def _weighted(level: DataFrame, last: bool) -> DataFrame:
+    """Adds kt, the estimate of a one; weighted, the log weighted probability; and stop, the share of the node's own estimate."""
+
+    def run(batches):
+        for batch in batches:
+            n0, n1, below = (batch.column(c).to_numpy().astype(np.float64) for c in ("n0", "n1", "below"))
+            own = _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1) - math.log(math.pi)
+            weighted = own if last else np.logaddexp(own, below) - math.log(2)
+            stop = np.ones(len(own)) if last else np.exp(own - math.log(2) - weighted)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("context", "decision", "n0", "n1")), pa.array((n1 + 0.5) / (n0 + n1 + 1)), pa.array(weighted), pa.array(stop)], ["context", "decision", "n0", "n1", "kt", "weighted", "stop"])
+
+    return level.select("context", "decision", "n0", "n1", "below").mapInArrow(run, "context long, decision int, n0 long, n1 long, kt double, weighted double, stop double")
+
+
+def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, logp) of every n-gram (key, n), n its count in training: the log10 probability of its symbol after its context."""
+    seen = _exploded(grams.where("n > 0"), "n")
+    level = seen.groupBy("context", "decision").agg(F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("one") == 1, F.col("n")).otherwise(0)).alias("n1")).withColumn("below", F.lit(0.0))
+    levels = [stage(_weighted(level, True), "level")]
+    for d in range(depth - 1, -1, -1):
+        level = levels[0].groupBy(_suffix(d).alias("context"), "decision").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
+        levels.insert(0, stage(_weighted(level, False), "level"))
+    # so_far: what the nodes above contribute; rest: the weight that passes on to the children
+    own = F.col("left") * F.col("stop") * F.col("kt")
+    state = levels[0].withColumn("left", F.lit(1.0)).select("context", "decision", own.alias("so_far"), (F.col("left") * (1 - F.col("stop"))).alias("rest"))
+    states = [state]
     for d in range(1, depth + 1):
-        suffix = F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1))
-        kept = rows.groupBy(suffix.alias("suffix")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("suffix")
-        found = np.sort(np.array(kept.toArrow().column("suffix").to_pylist(), dtype=np.int64))
-        nodes.append(found)
-        frame = rows.sparkSession.createDataFrame(pa.table({"suffix": pa.array(found, pa.int64())}))
-        known = known.join(F.broadcast(frame), suffix == F.col("suffix"), "left").withColumn("at", F.when(F.col("suffix").isNotNull(), d).otherwise(F.col("at"))).withColumn("node", F.coalesce("suffix", "node")).drop("suffix")
-    got = known.groupBy("at", "node", "symbol").agg(F.sum("n").alias("n")).toArrow()
-    leaves: dict[tuple[int, int], np.ndarray] = {}
-    for d, c, s, n in zip(*(got.column(x).to_numpy() for x in ("at", "node", "symbol", "n"))):
-        key = (int(d), int(c))
-        if key not in leaves:
-            leaves[key] = np.zeros(257)
-        leaves[key][s] += n
-    return weigh(depth, nodes, leaves)
+        up = states[-1].select(F.col("context").alias("up"), F.col("decision").alias("of"), F.col("so_far").alias("before"), F.col("rest").alias("left"))
+        joined = levels[d].join(up, (_suffix(d - 1) == F.col("up")) & (F.col("decision") == F.col("of")))
+        state = joined.select("context", "decision", (F.col("before") + own).alias("so_far"), (F.col("left") * (1 - F.col("stop"))).alias("rest"))
+        states.append(stage(state, "state"))
+        drop_stage(levels[d])
+    # the deepest node with counts of the decision predicts; what passes below it predicts one half
+    # n-grams of training have counts of all their decisions at the full depth
+    columns = ["key", "context", "decision", "one"]
+    full = states[depth].select("context", "decision", (F.col("so_far") + F.col("rest") / 2).alias("p"))
+    p = _exploded(grams.where("n > 0"), "key").join(full, ["context", "decision"]).select("key", "one", "p")
+    open_ = _exploded(grams.where("n = 0"), "key").select(*columns)
+    for d in range(depth, -1, -1):
+        at = states[d].select(F.col("context").alias("at"), F.col("decision").alias("of"), (F.col("so_far") + F.col("rest") / 2).alias("p"))
+        met = open_.join(at, (_suffix(d) == F.col("at")) & (F.col("decision") == F.col("of")), "left").drop("at", "of")
+        met = stage(met, "asked")
+        p = p.unionByName(met.where("p is not null").select("key", "one", "p"))
+        open_ = met.where("p is null").drop("p")
+    p = p.unionByName(open_.select("key", "one", F.lit(0.5).alias("p")))
+    bounded = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    return p.groupBy("key").agg(F.sum(F.log10(F.when(F.col("one") == 1, bounded).otherwise(1 - bounded))).alias("logp"))
 
 
 def score(docs: DataFrame, mod: int = 7, held_out: int = 2, depth: int = 5, contexts: int = 65536, head: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of documents(doc_id, text)."""
     spark = docs.sparkSession
     texts = id_text(docs).withColumn("held_out", F.coalesce(fraction_of_crc("doc_id", mod) == held_out, F.lit(False)))
-    counted = stage(counts(texts.where("not held_out").select("text"), depth), "counts")
-    tree = spark.sparkContext.broadcast(fit_tree(counted.where(F.col("kind") == NGRAM).select("key", "n"), depth, contexts))
-    words = counted.where(F.col("kind") == WORD).select("key", "n")
+    counted = stage(both_counts(texts, depth), "counts")
+    grams = counted.where(F.col("kind") == NGRAM).select("key", "n", "met")
+    known_grams = stage(gram_scores(grams, depth).join(grams.select("key", "met"), "key"), "grams")
+    positions = known_grams.agg(F.sum("met")).first()[0] or 0
+    least_met = max(1, math.ceil(positions / (16 * contexts)))
+    common = known_grams.where(F.col("met") >= least_met).select("key", "logp").toArrow()
+    gram_keys, gram_logp = common.column("key").to_numpy(), common.column("logp").to_numpy()
+    order = np.argsort(gram_keys)
+    head_grams = spark.sparkContext.broadcast((gram_keys[order], gram_logp[order]))
+    words = counted.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(1, math.ceil(total / head))
     top = words.where(F.col("n") >= least).toArrow()
@@ -277,18 +349,31 @@ def score(docs: DataFrame, mod: int = 7, held_out: int = 2, depth: int = 5, cont
     scale = math.log10(total + distinct + 1)
 
     def run(batches):
-        model, (head_keys, head_n) = tree.value, heads.value
+        (gram_keys, gram_logp), (head_keys, head_n) = head_grams.value, heads.value
+
+        def grams_of(part):
+            """Sum of log10 over the broadcast n-grams of each text, and the others of each text."""
+            keys, inverse = np.unique(ngrams(part, depth), return_inverse=True)
+            at = np.minimum(np.searchsorted(gram_keys, keys), max(len(gram_keys) - 1, 0))
+            hit = gram_keys[at] == keys if len(gram_keys) else np.zeros(len(keys), dtype=bool)
+            value = np.where(hit, gram_logp[at], 0.0)[inverse] if len(gram_keys) else np.zeros(len(inverse))
+            starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])[:-1]])
+            missed = np.flatnonzero(~hit[inverse])
+            return np.add.reduceat(value, starts), np.split(keys[inverse[missed]], np.searchsorted(missed, starts[1:]))
+
         head_log = np.log10(head_n + 1.0) - scale
         hashed = _Hashes()
         for batch in batches:
-            column, tokens, known, base, logp, tail, times = batch.column("text"), [], [], [], [], [], []
+            column, tokens, known, base, logp, tail, times, others = batch.column("text"), [], [], [], [], [], [], []
             part, size = [], 0
             for i, t in enumerate(column):
                 t = t.as_py().encode("utf-8", "replace").lower()
                 part.append(t)
                 size += len(t)
                 if size > 4_000_000 or i == len(column) - 1:
-                    logp.append(model.score(part))
+                    sums, missed = grams_of(part)
+                    logp.append(sums)
+                    others += missed
                     part, size = [], 0
                 w = t.split()
                 h = np.fromiter(map(hashed.__getitem__, w), dtype=np.uint64, count=len(w))
@@ -304,16 +389,19 @@ def score(docs: DataFrame, mod: int = 7, held_out: int = 2, depth: int = 5, cont
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in tail])]).astype(np.int32))
             flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tail, times)]
             lists = [pa.ListArray.from_arrays(offsets, pa.array(flat[0].astype(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(flat[1].astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(logp) if logp else [], pa.float64()), *lists], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in others])]).astype(np.int32))
+            lists.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(others) if others else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(np.concatenate(logp) if logp else [], pa.float64()), *lists], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "times", "others"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>, times array<int>, others array<long>"
     rows = texts.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     rows = stage(rows, "scored")  # written once: a row's number stays the same
     rare = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("key"), F.col("x.times").alias("f"))
     met = rare.join(words.where(F.col("n") < least), "key").groupBy("row").agg(F.sum("f").alias("known_more"), F.sum(F.col("f") * F.log10(F.col("n") + 1.0)).alias("gained"))
-    unseen = rows.join(met, "row", "left").na.fill(0, ["known_more", "gained"])
+    far = rows.select("row", F.explode("others").alias("key")).join(known_grams.where(F.col("met") < least_met), "key").groupBy("row").agg(F.sum("logp").alias("more"))
+    unseen = rows.join(met, "row", "left").join(far, "row", "left").na.fill(0, ["known_more", "gained", "more"])
     tail_tokens = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
-    return unseen.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("known_more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("gained") - tail_tokens * F.lit(scale)).alias("base_score"), "score")
+    return unseen.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("known_more")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("gained") - tail_tokens * F.lit(scale)).alias("base_score"), (F.col("score") + F.col("more")).alias("score"))
 
 
 class _Hashes(dict):

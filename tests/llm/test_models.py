@@ -107,6 +107,23 @@ def test_tree_is_a_distribution_and_equals_direct_mixing():
     assert abs(10 ** float(tree.logp[leaf, 256]) - p) < 1e-5
 
 
+def test_score_uses_every_context_of_training(spark):
+    words = ["abracadabra", "abba", "", "cab" * 5, "the cat sat on the mat", "a rare zebra"]
+    rows = [(i, words[i * 7 % 6] + words[i % 5]) for i in range(60)] + [(1000 + i, "unseen Qx abr") for i in range(8)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    training = [t.encode().lower() for i, t in rows if not held(i)]
+    keys, n = np.unique(ctw.ngrams(training, 3), return_counts=True)
+    nodes = [np.unique(keys >> 9 & ((1 << 8 * d) - 1)) for d in range(4)]
+    leaves = {}
+    for c, s, k in zip((keys >> 9).tolist(), (keys & 511).tolist(), n.tolist()):
+        leaves.setdefault((3, c), np.zeros(257))[s] += k
+    want = ctw.weigh(3, nodes, leaves).score([t.encode().lower() for _, t in rows])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for contexts in (2, 65536):  # with and without n-grams that meet their probability in a join
+        got = {r.doc_id: r.score for r in ctw.score(docs, depth=3, contexts=contexts).collect()}
+        assert np.allclose([got[i] for i, _ in rows], want, atol=1e-3)
+
+
 def test_unigram_base_and_model(spark, small, odd_docs):
     from collections import Counter
 
