@@ -5,8 +5,8 @@
 2. Rounds of NN-descent: every node joins its neighbours and reverse neighbours with one another; a
    pair that beats the worst entry of one's list enters it.  Rounds end when few lists change.
    These rounds compare vectors rounded to eight bits; everything below is in double precision.
-3. List entries with cosine >= threshold are links.  A node with ``k`` links or more is saturated:
-   its list is enlarged to all saturated nodes, compared chunk by chunk.  A chunk holds nodes of one region
+3. List entries with cosine >= threshold are links.  A node whose list is full, its worst entry within
+   rounding of the threshold or above, is saturated: its list is enlarged to all saturated nodes, compared chunk by chunk.  A chunk holds nodes of one region
    (saturated nodes connected by links), and is compared with the chunks of its own and of all other regions.  Chunks
    whose centres lie too far apart for their radii are passed over, which loses nothing.  Counts
    leave these comparisons, and one edge for regions that turn out to be linked.
@@ -346,6 +346,11 @@ def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold
     return more, joins.unionAll(counted.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
 
 
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(node) of full lists whose worst entry may be a link in eight bits: further links may have found no place."""
+    return lists.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= threshold - 0.03)).select("node")
+
+
 def _found(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(node, more, near), all links found of each node, as copies and as nodes; and edges (a, b) beside the listed links."""
     region_links, joins = _regions(links, saturated, nodes, threshold)
@@ -382,8 +387,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = 16, orders
             if changed <= changed_below * total:
                 break
         links = stage(_listed(lists, nodes, threshold), "links")
-        ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node")))
-        saturated = stage(ends.groupBy("node").count().where(F.col("count") >= size).select("node"), "saturated")
+        saturated = stage(_saturated(lists, size, threshold), "saturated")
         counted, joins = _found(links, saturated, nodes, threshold)
         counted = stage(counted, "counted")
         if audit(nodes, counted, threshold, audited) >= least_recall:

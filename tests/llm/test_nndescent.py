@@ -83,6 +83,12 @@ def test_audit_sees_lost_links_and_the_search_goes_on(spark, monkeypatch):
     assert recall[0] < 0.5 and got == brute(rows, 0.9)
 
 
+def test_full_list_with_entries_just_below_the_threshold_is_saturated(spark):
+    entries = [(1, 2, 0.95), (1, 3, 0.89), (2, 1, 0.95), (2, 3, 0.86), (3, 1, 0.95)]
+    lists = spark.createDataFrame(entries, "v long, u long, sim float")
+    assert [r.node for r in nndescent._saturated(lists, 2, 0.9).collect()] == [1]
+
+
 def test_empty_table_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert nndescent.near_duplicates(spark.createDataFrame([], schema)).count() == 0
