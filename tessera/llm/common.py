@@ -77,3 +77,19 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def fraction_of_crc(col: str, mod: int):
     """crc32 of the id written as text, modulo ``mod`` (the folds of the contracts)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
+
+
+def matched(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """Left join of rows with groups, which has one row for each value of ``keys`` and its number of rows in ``copies``.
+
+    Values that more than a thousandth of all rows share are a thousand at most: they are broadcast, so that the rows of no
+    value go to one task.  Null keys match nothing and stay where they are.
+    """
+    total = rows.count()
+    hot = groups.where(F.col(copies) * 1000 > total).drop(copies)
+    cold = groups.where(F.col(copies) * 1000 <= total).drop(copies)
+    null = F.expr(" or ".join(f"`{k}` is null" for k in keys))
+    some = rows.where(~null)
+    parts = [rows.where(null), some.join(F.broadcast(hot), keys), some.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, "left")]
+    columns = [*rows.columns, *(c for c in groups.columns if c not in (*keys, copies))]
+    return parts[1].select(columns).unionByName(parts[2].select(columns)).unionByName(parts[0], allowMissingColumns=True)

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import contamination, warc
 from tessera.llm.common import new_path
@@ -41,6 +42,8 @@ def test_contamination_empty_tables(spark, no_docs, odd_docs):
 def test_archives_round_trip(spark, small, roll):
     rows = [(901, None, None), (902, "u r\n", ""), (903, "http://é/", "<p>é</p>"), (904, "b", "<p>é</p>"), (None, "b", "<p>q</p>"), (905, "c", "x" * 300_000), (906, "d", "y"), (906, "d", "y")]
     pages = spark.read.parquet(f"{small}/pages.parquet").unionByName(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for name in ("digest", "payload", "link", "block", "first", "revisit"):  # columns named like inner ones
+        pages = pages.withColumn(name, F.lit("x"))
     digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
     rows = pages.collect()
     top = {}
@@ -74,6 +77,29 @@ def test_small_payloads_are_all_responses(spark):
     assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None)}
 
 
+def test_many_copies_of_one_page_and_long_files(spark):
+    """More than a thousandth of all rows share a payload; blocks hold several files."""
+    rows = [(i, f"http://h/{i}", "same" if i % 3 else f"page {i} " * 50) for i in range(900)] + [(None, "http://n", "same")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    listed = warc.write(pages, path, roll_bytes=20_000)
+    got = warc.read(spark, path).collect()
+    assert len(got) == len(rows) == sum(x["records"] for x in listed) and len(listed) > 10
+    assert all(x["bytes"] <= 20_000 + 100 for x in listed)
+    assert all(r.refers_to == 899 for r in got if r.record_type == "revisit")
+    assert sum(r.record_type == "response" for r in got) == 301
+
+
+def test_long_payload_has_a_file_of_its_own(spark):
+    import random
+
+    noise = random.Random(1).randbytes(150_000).hex()
+    path = new_path(spark, "warc")
+    listed = warc.write(spark.createDataFrame([(1, "a", "x"), (2, "b", noise), (3, "c", "y")], "page_id long, url string, html string"), path, roll_bytes=20_000)
+    assert [x["records"] for x in listed] == [1, 1, 1]
+    assert {r.page_id: r.payload_bytes for r in warc.read(spark, path).collect()} == {1: 1, 2: 300_000, 3: 1}
+
+
 def test_empty_archive_and_damage(spark):
     path = new_path(spark, "warc")
     assert warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path) == []
