@@ -72,56 +72,85 @@ def test_label_model_counts_repeating_voters_once():
     assert ((post > 0.5) == y).mean() >= (noisy == y).mean()
 
 
-def test_tree_is_a_distribution_and_equals_direct_mixing():
-    texts = [b"abracadabra", b"abba", b"", b"cab" * 5]
-    keys, n = np.unique(np.concatenate([ctw.ngrams([t], 2) for t in texts]), return_counts=True)
-    context, symbol = keys >> 9, keys & 511
-    nodes = [np.zeros(1, dtype=np.int64), np.unique(context & 255), np.unique(context)]
-    leaves = {}
-    for c, s, k in zip(context.tolist(), symbol.tolist(), n.tolist()):
-        leaves.setdefault((2, c), np.zeros(257))[s] += k
-    tree = ctw.weigh(2, nodes, leaves)
-    assert np.allclose((10 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
-    # the root's first decision by the definition: half its own estimate, half the product of its children's
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def weighted(d, c):
-        rows = [v for (_, x), v in leaves.items() if x & ((1 << 8 * d) - 1) == c]
-        total = sum(rows)
-        own = kt(total[:256].sum(), total[256])
-        if d == 2:
-            return own, total
-        below = sum(weighted(d + 1, x)[0] for x in nodes[d + 1].tolist() if x & ((1 << 8 * d) - 1) == c)
-        return math.log(0.5) + np.logaddexp(own, below), total
-
-    path = int(nodes[2][-1])
-    p, left = 0.0, 1.0
-    for d in range(3):
-        c = path & ((1 << 8 * d) - 1)
-        w, total = weighted(d, c)
-        one = (total[256] + 0.5) / (total.sum() + 1)
-        stop = 1.0 if d == 2 else math.exp(math.log(0.5) + kt(total[:256].sum(), total[256]) - w)
-        p, left = p + left * stop * one, left * (1 - stop)
-    leaf = -1 - int(tree.child[tree.child[0, path & 255], path >> 8])
-    assert abs(10 ** float(tree.logp[leaf, 256]) - p) < 1e-5
-
-
-def test_score_uses_every_context_of_training(spark):
-    words = ["abracadabra", "abba", "", "cab" * 5, "the cat sat on the mat", "a rare zebra"]
-    rows = [(i, words[i * 7 % 6] + words[i % 5]) for i in range(60)] + [(1000 + i, "unseen Qx abr") for i in range(8)]
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    training = [t.encode().lower() for i, t in rows if not held(i)]
-    keys, n = np.unique(ctw.ngrams(training, 3), return_counts=True)
-    nodes = [np.unique(keys >> 9 & ((1 << 8 * d) - 1)) for d in range(4)]
-    leaves = {}
-    for c, s, k in zip((keys >> 9).tolist(), (keys & 511).tolist(), n.tolist()):
-        leaves.setdefault((3, c), np.zeros(257))[s] += k
-    want = ctw.weigh(3, nodes, leaves).score([t.encode().lower() for _, t in rows])
+def direct_mixing(training, depth):
+    """log10 probability of a text by the definition, over plain dictionaries of counts for each decision and context."""
+    counts = {}
+
+    def steps(text):
+        padded = bytes(depth) + text
+        for at in range(len(text) + 1):
+            context = padded[at : at + depth][::-1]  # the newest byte first
+            if at == len(text):
+                yield context, [(0, 1)]
+            else:
+                bits = [text[at] >> (7 - i) & 1 for i in range(8)]
+                yield context, [(0, 0)] + [(int("1" + "".join(map(str, bits[:i])), 2), bits[i]) for i in range(8)]
+
+    for text in training:
+        for context, decisions in steps(text):
+            for decision, one in decisions:
+                for d in range(depth + 1):
+                    counts.setdefault((decision, context[:d]), [0, 0])[one] += 1
+    children = {}
+    for decision, c in counts:
+        if c:
+            children.setdefault((decision, c[:-1]), []).append(c)
+
+    def kt(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+
+    known = {}
+
+    def weighted(decision, c):
+        if (decision, c) not in known:
+            own = kt(counts.get((decision, c), [0, 0]))
+            known[decision, c] = own if len(c) == depth else math.log(0.5) + np.logaddexp(own, sum(weighted(decision, x) for x in children.get((decision, c), [])))
+        return known[decision, c]
+
+    def log10(text):
+        total = 0.0
+        for context, decisions in steps(text):
+            for decision, one in decisions:
+                p, left = 0.0, 1.0
+                for d in range(depth + 1):
+                    n = counts.get((decision, context[:d]), [0, 0])
+                    stop = 1.0 if d == depth else math.exp(math.log(0.5) + kt(n) - weighted(decision, context[:d]))
+                    p, left = p + left * stop * (n[1] + 0.5) / (sum(n) + 1), left * (1 - stop)
+                total += math.log10(p if one else 1 - p)
+        return total
+
+    return log10
+
+
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_scores_equal_direct_mixing(spark, depth):
+    words = ["abracadabra", "abba", "", "cab" * 5, "the cat sat on the mat", "a rare zebra \u00e9\u4e2d"]
+    rows = [(i, words[i * 7 % 6] + words[i % 5]) for i in range(60)] + [(1000 + i, "unseen Qx abr") for i in range(8)] + [(2000, None), (None, "Abba")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    text = lambda t: (t or "").encode().lower()
+    model = direct_mixing([text(t) for i, t in rows if not held(i)], depth)
+    want = sorted((i is None, i or 0, round(model(text(t)), 6)) for i, t in rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for contexts in (2, 65536):  # with and without n-grams that meet their probability in a join
-        got = {r.doc_id: r.score for r in ctw.score(docs, depth=3, contexts=contexts).collect()}
-        assert np.allclose([got[i] for i, _ in rows], want, atol=1e-3)
+    for common in (16, 4_000_000):  # with and without n-grams that meet their probability in a join
+        got = ctw.score(docs, depth=depth, common=common).collect()
+        assert np.allclose(np.array(sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in got)), np.array(want), atol=1e-5)
+
+
+def test_pieces_and_runs_change_nothing(monkeypatch):
+    texts = [b"abracadabra" * 9, b"", b"abba", b"the cat sat on the mat " * 5]
+    whole, _ = ctw.ngrams(next(ctw._pieces(texts, 4)), 4)
+    keys, n = np.unique(whole, return_counts=True)
+    nodes = ctw._prefix_nodes(keys, n, 4)
+    monkeypatch.setattr(ctw, "_PIECE", 7)
+    monkeypatch.setattr(ctw, "_RUN", 3)
+    assert np.array_equal(np.concatenate([ctw.ngrams(p, 4)[0] for p in ctw._pieces(texts, 4)]), whole)
+    for a, b in zip(nodes, ctw._prefix_nodes(keys, n, 4)):
+        assert np.array_equal(a.key, b.key) and np.array_equal(a.n1, b.n1) and np.allclose(a.weighted, b.weighted)
+
+
+def test_counts_of_a_hundred_thousand_million_keep_their_digits():
+    nodes = ctw.Nodes(np.zeros(1, dtype=np.int64), np.array([10**11]), np.array([10**11 + 10**6]))
+    assert abs(nodes.one[0] - (10**11 + 10**6 + 0.5) / (2 * 10**11 + 10**6 + 1)) < 1e-15
 
 
 def test_unigram_base_and_model(spark, small, odd_docs):
@@ -134,7 +163,7 @@ def test_unigram_base_and_model(spark, small, odd_docs):
     counts = Counter(w for r in rows if not held(r.doc_id) for w in tokens(r.text))
     n, v = sum(counts.values()), len(counts)
     want = sorted((str(r.doc_id), held(r.doc_id), len(w := tokens(r.text)), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 4)) for r in rows)
-    got = ctw.score(docs, head=200, contexts=2048, depth=3).collect()
+    got = ctw.score(docs, head=200, common=30_000, depth=3).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     assert all(r.score < 0 for r in got)
 
