@@ -58,9 +58,57 @@ def test_chain_marginals_equal_enumeration():
 
 
 def test_upper_case_share_is_of_all_words_of_a_line():
-    features, _, _ = quality.line_features(["low " * 50 + "HIGH " * 150])
-    assert features[0, 1 + len(quality._CLASSES) + 3] == 0.75
-
+    features, _ = quality.own_features(["low " * 50 + "HIGH " * 150], np.zeros(1))
+    assert features[0, len(quality._CLASSES) + 3] == 0.75
+
+
+def chain_of(rng):
+    return quality.Chain(rng.standard_normal(quality.WIDTH), rng.standard_normal((2, 2)), rng.standard_normal(quality.WIDTH), rng.random(quality.WIDTH) + 0.5, 0.7, 0.1)
+
+
+def plain_score(chain, text):
+    """One text at a time, features as one matrix, the chain in loops."""
+    lines = text.split("\n")
+    own, size = quality.own_features(lines, quality._repeated(lines))
+    first, last = quality._ends(np.array([len(lines)]))
+    emit = ((quality.with_neighbours(own, first, last) - chain.centre) / chain.spread) @ chain.weights
+    m = np.exp(chain.move)
+    pots = [np.array([1.0, math.exp(e)]) for e in emit]
+    ahead, behind = [pots[0] / pots[0].sum()], [np.ones(2)]
+    for p in pots[1:]:
+        v = (ahead[-1] @ m) * p
+        ahead.append(v / v.sum())
+    for p in pots[:0:-1]:
+        v = m @ (p * behind[-1])
+        behind.append(v / v.sum())
+    both = np.array(ahead) * np.array(behind[::-1])
+    share = np.clip((both[:, 1] / both.sum(axis=1) * size).sum() / size.sum(), 1e-6, 1 - 1e-6)
+    return 1 / (1 + math.exp(-(chain.slope * math.log(share / (1 - share)) + chain.offset)))
+
+
+def test_scores_equal_a_plain_chain_and_do_not_depend_on_the_batch(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["alpha", "BETA", "12", "|", "gamma, delta", "", "éa"]
+    texts = ["\n".join(" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(rng.integers(1, 40))) for _ in range(60)] + ["", "x"]
+    texts += ["\n".join(rng.choice(words, 3000)), "\n".join(rng.choice(words, 1025))]  # long enough for the scan
+    chain = chain_of(rng)
+    whole = chain.scores(texts)
+    assert np.allclose(whole, [plain_score(chain, t) for t in texts], atol=1e-7)
+    assert [chain.scores([t])[0] for t in texts] == whole.tolist() == chain.scores(texts[::-1])[::-1].tolist()
+    monkeypatch.setattr(quality, "_LINES", 7)
+    monkeypatch.setattr(quality, "_CELLS", 50)
+    assert chain.scores(texts).tolist() == whole.tolist()
+
+
+def test_a_text_of_four_megabytes_of_lines_needs_bounded_memory():
+    import tracemalloc
+
+    chain = chain_of(np.random.default_rng(6))
+    text = "\n".join(str(i % 99_991) for i in range(700_000))
+    tracemalloc.start()
+    chain.scores(["a\nb"] * 300 + [text])
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
 
 def test_label_model_counts_repeating_voters_once():
     rng = np.random.default_rng(0)
