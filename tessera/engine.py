@@ -177,7 +177,7 @@ class Engine:
         hits = ranking.rank(queries, chunks, chosen, project, vectors)
         weights = ranking.term_weights(queries, chunks).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
         rows = hits.join(chunks.select("path", "ordinal", "text", "content_hash", "indexed_at", "project"), ["path", "ordinal"]).join(queries.select("query_id", "question"), "query_id").join(weights, "query_id", "left")
-        rows = rows.withColumn("snippet", snippets.snippet(F.col("text"), F.col("question"), F.col("weights"), int(defaults.get("snippet_chars", 240))))
+        rows = snippets.snippets(rows, ["query_id", "path", "ordinal"], int(defaults.get("snippet_chars", 240)))
         rows = trust.verdicts(rows, disk_state(self.spark, rows), self.metadata()["refreshed_at"])
         return [r.asDict() for r in rows.select("rank", "score", "path", "project", "ordinal", "snippet", "verdict", "reason", "marker").orderBy("rank").collect()]
 

@@ -17,7 +17,7 @@ def verdicts(hits: DataFrame, disk: DataFrame, refreshed_at: float, window: floa
     gone, other = F.col("__here").isNull(), ~F.col("content_hash").eqNullSafe(F.col("__hash"))
     fresh = F.abs(F.col("indexed_at") - refreshed_at) < window
     verdict = F.when(gone, "stale").when(other, "weak").when(fresh, "rebuilt").otherwise("strong")
-    reason = F.when(gone, "file missing from disk").when(other, "content hash mismatch").when(fresh, "re-indexed in current refresh pass").otherwise("disk hash matches")
+    reason = F.when(gone, "its source is gone").when(other, "its source was changed after indexing").when(fresh, "indexed by the last refresh").otherwise("its source is as indexed")
     marker = F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair])
     return rows.withColumns({"verdict": verdict, "reason": reason}).withColumn("marker", F.coalesce(F.try_element_at(marker, F.col("verdict")), F.lit("?"))).drop("__here", "__hash")
 

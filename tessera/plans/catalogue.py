@@ -237,7 +237,7 @@ def snippet_texts(spark, sf_dir):
     q, c, _ = _corpus(spark, sf_dir, False)
     hits = ranking.top(ranking.bm25(q, c), [F.desc("lexical"), "path", "ordinal"], 10).join(c.select("path", "ordinal", "text"), ["path", "ordinal"]).join(q, "query_id")
     weights = ranking.term_weights(q, c).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
-    return hits.join(weights, "query_id").select("query_id", "path", "ordinal", snippets.snippet(F.col("text"), F.col("question"), F.col("weights"), 240).alias("snippet"))
+    return snippets.snippets(hits.join(weights, "query_id"), ["query_id", "path", "ordinal"], 240).select("query_id", "path", "ordinal", "snippet")
 
 
 _SCAN_TERMS = f"list_filter({_tok('question', T.SCAN_TOKEN)}, lambda t: t NOT IN {_STOP})"

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,11 +129,36 @@ def test_selection(spark):
     assert sorted(r.path for r in owned.collect()) == ["/r/p0/f0.md", "/r/p0/f4.md"]
 
 
-def test_excerpts():
+def excerpts(spark, rows, limit):
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string, question string, weights map<string,double>")
+    return [r.snippet for r in snippets.snippets(docs, ["id"], limit).orderBy("id").collect()]
+
+
+def test_excerpts(spark):
     text = "alpha " * 60 + "the kiln fires at cone six " + "omega " * 60
-    got = snippets.excerpt(text, "kiln cone", 80)
+    (got,) = excerpts(spark, [(text, "kiln cone", None)], 80)
     assert "kiln" in got and "cone" in got and got.startswith("…") and got.endswith("…") and len(got) <= 82
-    assert snippets.excerpt("  short\n text ", "x", 80) == "short text"
-    assert snippets.excerpt("word " * 50, "zzz", 20) == "word word word word…"
+    assert excerpts(spark, [("  short\n text ", "x", None), (None, "x", None), ("", "x", None)], 80) == ["short text", None, ""]
+    assert excerpts(spark, [("word " * 50, "zzz", {}), ("word " * 50, None, {})], 20) == ["word word word word…"] * 2
     heavy = "common " * 3 + "x " * 100 + "rare"
-    assert "rare" in snippets.excerpt(heavy, "common rare", 40, {"common": 0.1, "rare": 5.0})
+    assert "rare" in excerpts(spark, [(heavy, "common rare", {"common": 0.1, "rare": 5.0})], 40)[0]
+
+
+def test_excerpts_show_the_heaviest_stretch(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["kiln", "cone", "glaze", "ab", "x", "the", "clay-body", "é"]
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 90))), "Kiln cone clay-body ab", {"kiln": 0.5, "cone": 2.0}) for _ in range(40)]
+    limit = 60
+    weights = {"kiln": 0.5, "cone": 2.0, "clay-body": 1.0}
+    for (text, _, _), got in zip(rows, excerpts(spark, rows, limit)):
+        if len(text) <= limit:
+            assert got == text
+            continue
+        found = [(m.start(), m.group()) for m in re.finditer(r"[a-z0-9](?:[a-z0-9_./:-]*[a-z0-9])?", text) if m.group() in weights]
+        shown = got.strip("…")
+        assert shown in text and len(shown) <= limit and (not got.startswith("…") or " " + shown in text)
+        if found:
+            best = max(sum(weights[t] for t in {t for q, t in found if p <= q < p + limit * 3 // 4}) for p, _ in found)
+            assert sum(weights[t] for t in weights if re.search(rf"(^| ){t}( |$)", shown)) >= best - 1e-9 or got.endswith("…")
