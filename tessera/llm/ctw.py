@@ -49,7 +49,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that are turned into n-grams at once.
-_PIECE = 4_000_000
+_PIECE = 1_000_000
 
 
 def _pieces(texts: list[bytes], depth: int):
@@ -118,10 +118,10 @@ def both_counts(docs: DataFrame, depth: int) -> DataFrame:
                     for t in some:
                         words[value].update(t.split())
                     words[value][None] += len(some)
-                    if size > 4_000_000:
+                    if size > 2_500_000:
                         grams = [_summed(*(np.concatenate(x) for x in zip(*grams)))]
                         size = len(grams[0][0])
-                        if size > 2_000_000:
+                        if size > 1_500_000:
                             yield from out(NGRAM, *grams[0])
                             grams, size = [], 0
                     if len(words[value]) > 400_000:
@@ -431,8 +431,9 @@ def score(docs: DataFrame, mod: int = 7, held_out: int = 2, depth: int = 5, comm
     known_grams = gram_scores(counted.where(F.col("kind") == NGRAM).select("key", "n", "met"), depth)
     positions = known_grams.agg(F.sum("met")).first()[0] or 0
     least_met = max(1, math.ceil(positions / common))
-    often = known_grams.where(F.col("met") >= least_met).orderBy("met").select("key", "logp").toArrow()
-    head_grams = spark.sparkContext.broadcast((often.column("key").to_numpy(), often.column("logp").to_numpy()))
+    often = known_grams.where(F.col("met") >= least_met).toArrow()
+    order = np.argsort(often.column("met").to_numpy())  # of two n-grams for one place, the table keeps the later one
+    head_grams = spark.sparkContext.broadcast(tuple(often.column(c).to_numpy()[order] for c in ("key", "logp")))
     words = counted.where((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(1, math.ceil(total / head))
@@ -468,7 +469,7 @@ def score(docs: DataFrame, mod: int = 7, held_out: int = 2, depth: int = 5, comm
                 t = t.as_py().encode("utf-8", "replace").lower()
                 part.append(t)
                 size += len(t)
-                if size > 4_000_000 or i == len(column) - 1:
+                if size > _PIECE or i == len(column) - 1:
                     sums, missed = grams_of(part)
                     logp.append(sums)
                     others += missed
