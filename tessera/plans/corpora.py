@@ -63,13 +63,27 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTIONS_SQL = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 
 
+def _pairs(words):
+    """Two consecutive words, with the space between them."""
+    n = F.size(words) - 1
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, path, grade): 2 where a document holds the question's text, 1 where it holds its first forty characters only.
 
-    Every question meets every document: the questions are the stated set, and the labels are exact.
+    A text that holds those forty characters holds the whole words among them: documents meet questions by the first pair of words
+    that is not at an end, and are then compared.  Questions without such a pair meet every document.
     """
-    q = questions(spark, sf_dir).select("query_id", "question")
-    found = sources(spark, sf_dir).select("path", "text").crossJoin(q)
+    start = F.split(F.substring("question", 1, 40), " ")
+    q = questions(spark, sf_dir).select("query_id", "question", F.when(F.size(start) >= 4, F.concat(F.get(start, 1), F.lit(" "), F.get(start, 2))).alias("pair"))
+    docs = sources(spark, sf_dir).select("path", "text")
+    words = F.split("text", " ")
+    keyed = docs.select("path", F.explode(F.array_distinct(F.when(F.size(words) > 1, _pairs(words)))).alias("pair"))
+    some = q.where("pair is not null")
+    met = keyed.join(some.select("query_id", "pair"), "pair").select("path", "query_id")
+    rest = docs.select("path").join(q.where("pair is null").select("query_id"))
+    found = met.unionByName(rest.select("path", "query_id")).join(docs, "path").join(q, "query_id")
     grade = F.when(F.contains(F.col("text"), F.col("question")), 2).when(F.contains(F.col("text"), F.substring("question", 1, 40)), 1)
     return found.select("query_id", "path", grade.cast("long").alias("grade")).where("grade is not null")
 
