@@ -5,39 +5,65 @@
 2. Rounds of NN-descent: every node joins its neighbours and reverse neighbours with one another; a
    pair that beats the worst entry of one's list enters it.  Rounds end when few lists change.
    These rounds compare vectors rounded to eight bits; everything below is in double precision.
-3. List entries with cosine >= threshold are links.  A node whose list is full, its worst entry within
-   rounding of the threshold or above, is saturated: its list is enlarged to all saturated nodes, compared chunk by chunk.  A chunk holds nodes of one region
-   (saturated nodes connected by links), and is compared with the chunks of its own and of all other regions.  Chunks
-   whose centres lie too far apart for their radii are passed over, which loses nothing.  Counts
+3. List entries with cosine >= threshold are links.  The margin that eight bits need is not guessed: it is the largest
+   rounding error of all vectors, twice.  A node whose list is full, its worst entry within
+   the margin of the threshold or above, is saturated: its list is enlarged to all saturated nodes, compared chunk by chunk.  A chunk
+   holds nodes of one region (saturated nodes connected by links), and is compared with the chunks of its own and of all other regions.
+   Chunks whose centres lie too far apart for their radii are passed over, which loses nothing.  Chunks of different regions
+   meet only in cells around ``_PIVOTS`` chunk centres: a cell covers the chunks nearest to its pivot, and by the
+   triangle inequality a chunk has links only into cells that it reaches.  Counts
    leave these comparisons, and one edge for regions that turn out to be linked.
-4. An audit compares a bounded set of nodes with all rows in blocks.  While it finds a recall of these links below
+4. An audit compares a bounded set of nodes with all rows in blocks and logs the recall.  While it finds a recall of these links below
    ``least_recall``, the search goes on with lists of twice the length and further random orders.  After
-   ``searches`` of them all nodes are compared with one another.
+   ``searches`` of them all nodes count as saturated, which finds every link.
 
 Defined results: a vector that is null, zero or holds null or non-finite components has no links, is its own
-component and is kept; a null id keeps a null component; equal vectors link with one another; rows with equal ids are separate
-rows; vectors of another dimension than the most common one count as having no links; further columns are ignored.
+component and is kept; very small and very large components are scaled first; a null id keeps a null component; equal vectors link
+with one another; rows with equal ids are separate rows; vectors of each dimension are searched among themselves; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import logging
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_stage, stage
+from .common import drop_stage, matched, stage
 from .graph import components
 
+_LOG = logging.getLogger(__name__)
+
+
+def _bytes(column) -> np.ndarray:
+    """Rows of a binary column whose values are of one length, as bytes, without a copy of each."""
+    if not len(column):
+        return np.zeros((0, 0), dtype=np.uint8)
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].reshape(len(column), -1)
+
 
 def _matrix(column) -> np.ndarray:
     """Rows of a binary column of float64."""
-    return np.stack([np.frombuffer(x.as_buffer(), dtype=np.float64) for x in column])
+    return np.ascontiguousarray(_bytes(column)).view(np.float64)
 
 
-def _small(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), dtype=np.int8) for x in column]).astype(np.float32) / 127
+def _rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in eight bits and the size of one step in each."""
+    step = np.abs(x).max(axis=1) / 127
+    return np.rint(x / step[:, None]).astype(np.int8), step
+
+
+def _small(rows: np.ndarray) -> np.ndarray:
+    """Vectors from bytes: a step in four of them, then components in eight bits."""
+    out = rows[:, 4:].view(np.int8).astype(np.float32)
+    out *= np.ascontiguousarray(rows[:, :4]).view(np.float32)
+    return out
 
 
 def _usable(rows: DataFrame) -> DataFrame:
@@ -48,7 +74,7 @@ def _usable(rows: DataFrame) -> DataFrame:
             keys = []
             for x in batch.column("embedding").to_pylist():
                 v = np.array(x, dtype=np.float64) if x and None not in x else np.zeros(0)
-                ok = len(v) and np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0
+                ok = len(v) and np.isfinite(v).all() and v.any()
                 keys.append((v + 0.0).tobytes() if ok else None)  # adding zero makes minus zero plus zero
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary())], ["vec_id", "key"])
 
@@ -56,18 +82,25 @@ def _usable(rows: DataFrame) -> DataFrame:
 
 
 def _units(nodes: DataFrame) -> DataFrame:
-    """Adds unit (float64 of length one) and small (the same in eight bits)."""
+    """Adds unit (float64 of length one), small (the same in eight bits) and error, the distance between the two."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("key"))
-            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            small = np.rint(x * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("key"), batch.column("low"), batch.column("copies"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary())], ["node", "key", "low", "copies", "unit", "small"])
+            widths = pc.binary_length(batch.column("key"))
+            for width in pc.unique(widths):  # rows of one dimension at a time
+                yield whole(batch.filter(pc.equal(widths, width)))
 
-    return nodes.mapInArrow(run, "node long, key binary, low long, copies long, unit binary, small binary")
+    def whole(batch):
+        x = _matrix(batch.column("key"))
+        x = x / np.abs(x).max(axis=1)[:, None]
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        small, step = _rounded(x)
+        step = step.astype(np.float32)
+        error = np.sqrt(((x - small * step[:, None].astype(np.float64)) ** 2).sum(axis=1))
+        packed = [s.tobytes() + r.tobytes() for s, r in zip(step, small)]
+        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("key"), batch.column("low"), batch.column("copies"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(packed, pa.binary()), pa.array(error)], ["node", "key", "low", "copies", "unit", "small", "error"])
+
+    return nodes.mapInArrow(run, "node long, key binary, low long, copies long, unit binary, small binary, error double")
 
 
 def _pairs_table(a, b, sim) -> pa.RecordBatch:
@@ -84,7 +117,7 @@ def _start(nodes: DataFrame, dim: int, k: int, orders: int, block: int, seed: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _small(batch.column("small"))
+            x = _small(_bytes(batch.column("small")))
             for t in range(orders):
                 code = ((x @ planes[t].T > 0) @ (1 << np.arange(15, -1, -1))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(code + (t << 16)), pa.array((x @ lines[t]).astype(np.float32)), batch.column("node"), batch.column("small")], ["code", "at", "node", "small"])
@@ -96,7 +129,7 @@ def _start(nodes: DataFrame, dim: int, k: int, orders: int, block: int, seed: in
             if len(ids) < 2:
                 return
             v = np.array(ids, dtype=np.int64)
-            x = np.stack(rows).astype(np.float32) / 127
+            x = _small(np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1))
             s = x @ x.T
             np.fill_diagonal(s, -2)
             n = min(k, len(v) - 1)
@@ -110,7 +143,7 @@ def _start(nodes: DataFrame, dim: int, k: int, orders: int, block: int, seed: in
                     ids, rows = [], []
                 order = code >> 16
                 ids.append(node)
-                rows.append(np.frombuffer(small.as_buffer(), dtype=np.int8))
+                rows.append(small.as_py())
         yield from best()
 
     placed = nodes.select("node", "small").mapInArrow(place, "code long, at float, node long, small binary")
@@ -143,10 +176,11 @@ def _round(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             if not len(flat):
                 continue
             ids, worst_ = flat.field("u").to_numpy(), flat.field("worst").to_numpy()
-            x = _small(flat.field("small"))
+            rows = _bytes(flat.field("small"))
             va, ua, sa = [], [], []
             for lo, hi in zip(at[:-1], at[1:]):
-                s = x[lo:hi] @ x[lo:hi].T
+                x = _small(rows[lo:hi])
+                s = x @ x.T
                 np.fill_diagonal(s, -3)
                 i, j = np.nonzero(s > worst_[lo:hi, None])
                 va.append(ids[lo + i])
@@ -171,8 +205,8 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return left.join(nodes.select(F.col("node").alias("b"), F.col("unit").alias("xb")), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def _listed(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    near = lists.where(F.col("sim") >= threshold - 0.03).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
+def _listed(lists: DataFrame, nodes: DataFrame, threshold: float, margin: float) -> DataFrame:
+    near = lists.where(F.col("sim") >= threshold - margin).select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
     return _confirm(near, nodes, threshold)
 
 
@@ -230,23 +264,62 @@ def _pack(members: DataFrame, chunk: int) -> DataFrame:
     return spread.mapInArrow(run, "region long, chunk long, ids array<long>, roots array<long>, copies array<long>, x binary, centre binary, radius double, best long, unit binary")
 
 
-def _across(packed: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+#: Chunk centres that cells are built around, and centres that one block of a cell holds.
+_PIVOTS, _BLOCK = 1024, 512
+
+
+def _across(packed: DataFrame, threshold: float) -> DataFrame:
     """(a, b, linked) of chunks of different regions: pairs whose centres and radii allow a link, and links of their best nodes.
 
-    Every chunk is compared with every other, in blocks of their centres.  Of the links of best nodes at most one
-    for each chunk of a pair of blocks is returned.
+    Every chunk belongs to the cell of its nearest pivot (a bounded sample of the centres, by the hash of their number).  Blocks of
+    cells are compared with the blocks of all cells that one of their chunks reaches, from the higher cell to the lower one.
+    Of the links of best nodes at most one for each chunk of a pair of blocks is returned.
     """
+    reach = float(np.arccos(threshold)) + 1e-6
     heads = packed.select("region", "chunk", "centre", "radius", "best", "unit")
-    parts = -(-heads.count() // block)
+    some = heads.orderBy(F.xxhash64("chunk"), "chunk").limit(_PIVOTS).select("centre").toArrow()
+    schema = "a long, b long, linked boolean"
+    if not some.num_rows:
+        return packed.sparkSession.createDataFrame([], schema)
+    pivots = _matrix(some.column("centre").combine_chunks())
+
+    def pieces(batch):
+        return (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048))
+
+    def settle(batches):
+        for batch in (part for whole in batches for part in pieces(whole)):
+            if batch.num_rows:
+                apart = _angle(_matrix(batch.column("centre")) @ pivots.T)
+                cell = apart.argmin(axis=1)
+                far = apart[np.arange(len(cell)), cell] + batch.column("radius").to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], [*batch.schema.names, "cell", "far"])
+
+    settled = stage(heads.mapInArrow(settle, "region long, chunk long, centre binary, radius double, best long, unit binary, cell int, far double"), "heads")
+    cover = np.full(len(pivots), -np.inf)
+    for r in settled.groupBy("cell").agg(F.max("far").alias("far")).collect():  # one row for each pivot
+        cover[r["cell"]] = r["far"]
 
     def gather(batches):
-        rows = [row for batch in batches for row in batch.to_pylist()]
-        for at in range(0, len(rows), block):
-            part = rows[at : at + block]
-            yield pa.RecordBatch.from_arrays([pa.array([part[0]["chunk"]], pa.int64()), *(pa.array([[r[c] for r in part]]) for c in ("region", "chunk", "radius", "best")), *(pa.array([b"".join(r[c] for r in part)], pa.binary()) for c in ("centre", "unit"))], ["block", "region", "chunk", "radius", "best", "centre", "unit"])
+        of, rows = None, []
 
-    blocks = stage(heads.repartition(max(parts, 1)).mapInArrow(gather, "block long, region array<long>, chunk array<long>, radius array<double>, best array<long>, centre binary, unit binary"), "blocks")
-    reach = float(np.arccos(threshold))
+        def out():
+            if rows:
+                centres = np.stack([np.frombuffer(r["centre"]) for r in rows])
+                near = _angle(centres @ pivots.T) <= cover[None, :] + np.array([r["radius"] for r in rows])[:, None] + reach
+                visits = np.flatnonzero(near.any(axis=0))
+                lists = [pa.array([[r[c] for r in rows]]) for c in ("region", "chunk", "radius", "best")]
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0]["chunk"]], pa.int64()), pa.array([of], pa.int32()), pa.array([visits[visits <= of]], pa.list_(pa.int32())), *lists, *(pa.array([b"".join(r[c] for r in rows)], pa.binary()) for c in ("centre", "unit"))], ["block", "cell", "visits", "region", "chunk", "radius", "best", "centre", "unit"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["cell"] != of or len(rows) >= _BLOCK:
+                    yield from out()
+                    of, rows = row["cell"], []
+                rows.append(row)
+        yield from out()
+
+    spread = settled.repartitionByRange("cell", "chunk").sortWithinPartitions("cell", "chunk")
+    blocks = stage(spread.mapInArrow(gather, "block long, cell int, visits array<int>, region array<long>, chunk array<long>, radius array<double>, best array<long>, centre binary, unit binary"), "blocks")
 
     def compare(batches):
         for batch in batches:
@@ -255,16 +328,23 @@ def _across(packed: DataFrame, threshold: float, block: int = 512) -> DataFrame:
                 apart = one["region"][:, None] != two["region"][None, :]
                 if row["block"] == row["block2"]:
                     apart = np.triu(apart)
-                i, j = np.nonzero(apart & (_angle(one["centre"] @ two["centre"].T) <= one["radius"][:, None] + two["radius"][None, :] + reach + 1e-6))
+                i, j = np.nonzero(apart & (_angle(one["centre"] @ two["centre"].T) <= one["radius"][:, None] + two["radius"][None, :] + reach))
                 yield pa.RecordBatch.from_arrays([pa.array(one["chunk"][i]), pa.array(two["chunk"][j]), pa.array(np.zeros(len(i), dtype=bool))], ["a", "b", "linked"])
                 s = apart & (one["unit"] @ two["unit"].T >= threshold)
                 i, j = np.flatnonzero(s.any(axis=1)), np.flatnonzero(s.any(axis=0))
                 i, j = np.concatenate([i, s.argmax(axis=0)[j]]), np.concatenate([s.argmax(axis=1)[i], j])
                 yield pa.RecordBatch.from_arrays([pa.array(one["best"][i]), pa.array(two["best"][j]), pa.array(np.ones(len(i), dtype=bool))], ["a", "b", "linked"])
 
-    other = blocks.select(*(F.col(c).alias(c + "2") for c in blocks.columns))
-    pairs = blocks.join(other, F.col("block") <= F.col("block2")).mapInArrow(compare, "a long, b long, linked boolean")
-    return stage(pairs, "across")
+    # pairs of blocks by number, then their centres
+    visits = blocks.select(F.col("block").alias("block2"), F.col("cell").alias("cell2"), F.explode("visits").alias("cell"))
+    met = visits.join(blocks.select("block", "cell"), "cell").where("cell < cell2 or block <= block2").select("block", "block2")
+    columns = ["region", "chunk", "radius", "best", "centre", "unit"]
+    other = blocks.select(*(F.col(c).alias(c + "2") for c in ("block", *columns)))
+    pairs = met.join(blocks.select("block", *columns), "block").join(other, "block2")
+    out = stage(pairs.mapInArrow(compare, schema), "across")
+    drop_stage(blocks)
+    drop_stage(settled)
+    return out
 
 
 def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -309,16 +389,6 @@ def _side(packed: DataFrame, suffix: str) -> DataFrame:
     return packed.select(*(F.col(c).alias(c + suffix) for c in ("chunk", "ids", "roots", "copies", "x", "centre", "radius")), "region")
 
 
-def _everything(links: DataFrame, nodes: DataFrame, threshold: float, chunk: int = 256, parts: int = 16) -> tuple[DataFrame, DataFrame]:
-    """As _regions, for all nodes as one region, dealt over ``parts`` tasks: exact at a cost quadratic in the nodes."""
-    members = nodes.select("node", "unit", "copies").join(components(links.select("a", "b"), "regions"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    packed = stage(_pack(members.withColumn("region", F.lit(0).cast("long")).withColumn("by", F.col("root")), chunk), "chunks")
-    left = _side(packed, "").withColumn("region", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
-    right = _side(packed, "2").withColumn("region", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    counted = stage(_compared(left.join(right, "region").where("chunk <= chunk2").drop("region"), threshold), "region-links")
-    return counted.where("to is null").select("node", "more", "near"), counted.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
-
-
 def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold: float, chunk: int = 256) -> tuple[DataFrame, DataFrame]:
     """(node, more, near), the links of every saturated node with all saturated nodes, as copies and as nodes; and edges (a, b) that join their regions."""
     inside = links.join(saturated.select(F.col("node").alias("a")), "a", "left_semi").join(saturated.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
@@ -337,7 +407,11 @@ def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold
         packed = stage(_pack(merged, chunk), "chunks")
         across = _across(packed, threshold)
     left, right = _side(packed, ""), _side(packed, "2")
-    within = left.join(right, "region").where("chunk <= chunk2").drop("region")
+    # a region's chunks are dealt into slices of about 64; every slice meets all chunks of the region
+    slices = packed.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("slices"))
+    one = left.join(slices, "region").withColumn("slice", F.pmod(F.xxhash64("chunk"), F.col("slices")).cast("int"))
+    all_ = right.join(slices, "region").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    within = one.drop("slices").join(all_.drop("slices"), ["region", "slice"]).where("chunk <= chunk2").drop("region", "slice")
     pairs = across.where("not linked").select(F.col("a").alias("chunk"), F.col("b").alias("chunk2"))
     between = pairs.join(left.drop("region"), "chunk").join(right.drop("region"), "chunk2").select(*within.columns)
     counted = _compared(within, threshold).unionByName(_compared(between, threshold))
@@ -346,9 +420,9 @@ def _regions(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold
     return more, joins.unionAll(counted.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
 
 
-def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+def _saturated(lists: DataFrame, k: int, threshold: float, margin: float) -> DataFrame:
     """(node) of full lists whose worst entry may be a link in eight bits: further links may have found no place."""
-    return lists.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= threshold - 0.03)).select("node")
+    return lists.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= threshold - margin)).select("node")
 
 
 def _found(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -365,40 +439,50 @@ def _found(links: DataFrame, saturated: DataFrame, nodes: DataFrame, threshold:
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = 16, orders: int = 8, block: int = 256, max_rounds: int = 6, least_recall: float = 0.99, audited: int = 512, searches: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings(vec_id, embedding)."""
     keyed = stage(_usable(rows), "vectors")
-    sizes = keyed.where("key is not null").groupBy(F.octet_length("key").alias("bytes")).count().orderBy(F.desc("count"), "bytes").limit(1).collect()
-    width = sizes[0]["bytes"] if sizes else 8
-    keyed = keyed.withColumn("key", F.when(F.octet_length("key") == width, F.col("key")))
     classes = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     # written once: a node's number stays the same
     nodes = stage(_units(classes.select("node", "key", "low", "copies")), "nodes")
+    widths = [r[0] for r in nodes.select(F.octet_length("key")).distinct().collect()]
+    known = [_searched(nodes.where(F.octet_length("key") == w), w // 8, threshold, k, orders, block, max_rounds, least_recall, audited, searches) for w in sorted(widths)]
+    none = nodes.where("false").select("key", "copies", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("more"))
+    known = functools.reduce(DataFrame.unionByName, known, none).select("key", "copies", F.col("copies").alias("size"), "component_id", "more")
+    out = matched(keyed, known, ["key"], "copies")
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    n_links = F.coalesce(F.col("more") + F.col("size") - 1, F.lit(0))
+    return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def _searched(nodes: DataFrame, dim: int, threshold: float, k: int, orders: int, block: int, max_rounds: int, least_recall: float, audited: int, searches: int) -> DataFrame:
+    """(key, copies, component_id, more) of nodes of one dimension: more counts links with other nodes, as copies."""
+    total, worst = nodes.agg(F.count(F.lit(1)), F.max("error")).first()
+    # two vectors of length one, each off by at most ``worst``: their product is off by at most worst * (2 + worst)
+    margin = worst * (2 + worst) + 1e-6
     changed_below = 0.002
-    total = max(nodes.count(), 1)
-    lists, links = None, None
+    lists = None
     for search in range(searches):
         size = k << search
-        begun = _start(nodes, width // 8, size, orders, block, 5 + search)
+        begun = _start(nodes, dim, size, orders, block, 5 + search)
         lists = stage(_best(begun if lists is None else begun.unionByName(lists), size), "lists")
         for _ in range(max_rounds):
             found = _round(lists, nodes, size)
             new = stage(_best(found.unionByName(lists), size), "lists")
-            changed = new.join(lists.select("v", "u"), ["v", "u"], "left_anti").where(F.col("sim") >= threshold - 0.03).count()
+            changed = new.join(lists.select("v", "u"), ["v", "u"], "left_anti").where(F.col("sim") >= threshold - margin).count()
             drop_stage(lists)
             lists = new
             if changed <= changed_below * total:
                 break
-        links = stage(_listed(lists, nodes, threshold), "links")
-        saturated = stage(_saturated(lists, size, threshold), "saturated")
+        links = stage(_listed(lists, nodes, threshold, margin), "links")
+        saturated = stage(_saturated(lists, size, threshold, margin), "saturated")
         counted, joins = _found(links, saturated, nodes, threshold)
         counted = stage(counted, "counted")
-        if audit(nodes, counted, threshold, audited) >= least_recall:
+        recall = audit(nodes, counted, threshold, audited)
+        _LOG.info("dimension %d, lists of %d: recall %.4f on %d audited nodes", dim, size, recall, min(audited, total))
+        if recall >= least_recall:
             break
     else:
-        counted, joins = _everything(links, nodes, threshold)
+        counted, joins = _found(links, nodes.select("node"), nodes, threshold)
+        counted = stage(counted, "counted")
     roots = components(links.select("a", "b").unionAll(joins))
     whole = nodes.select("node", "key", "low", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = whole.join(lowest, "root").join(counted, "node", "left")
-    known = known.select("key", "component_id", (F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = keyed.join(known, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return whole.join(lowest, "root").join(counted, "node", "left").select("key", "copies", "component_id", F.coalesce("more", F.lit(0)).cast("long").alias("more"))
