@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import pii, secret_scan
@@ -61,11 +62,38 @@ def test_personal_data_base_spans(spark, small, odd_docs):
 
 
 def test_personal_data_added_spans_keep_base_and_need_no_refusal(spark):
-    texts = ["john [at] mail [dot] example [dot] com", "call (555) 123-4567 or phone 555.123.4567", "card 4111 1111 1111 1112"] + ["write to a.b@example.com"] * 30 + ["phone +1 (555) 123-4567"] * 30
+    texts = ["call (555) 123-4567 or phone 555.123.4567", "card 4111 1111 1111 1112", "phone 055.123.4567"] + ["write to a.b@example.com"] * 30 + ["phone +1 (555) 123-4567"] * 30
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r.doc_id: r for r in pii.digest(pii.find_personal_data(docs, threshold=0.5)).collect()}
-    assert rows[3].spans == "email:9:24" and rows[2].spans == ""
-    assert rows[1].n_phone == 0
+    rows = {r.doc_id: r for r in pii.digest(pii.find_personal_data(docs)).collect()}
+    assert rows[3].spans == "email:9:24" and rows[1].spans == rows[2].spans == ""
+    assert rows[0].n_phone == 0 and rows[0].spans == "phone:5:19,phone:29:41"
+
+
+PLANTED = ["please call (415) 555-%04d today", "my phone is 415-555-%04d, thanks", "write me: jo%d [at] mail [dot] example [dot] com please", "contact: jo%d (at) mail (dot) example.org soon"]
+DECOYS = ["see order 415 555 %04d for it", "invoice no 415.555.%04d was paid", "item 015-555-%04d is out", "part 415-555-%04dx is new", "import jo%d [at] mod [dot] tools [dot] zzz now"]
+
+
+@pytest.mark.parametrize("planted,decoys", [(100, 100), (5_000, 100), (100, 5_000), (40_000, 40_000), (0, 5_000)])
+def test_personal_data_planted_spans_are_added_at_every_frequency(spark, planted, decoys):
+    def filled(n, texts, at):
+        text = F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % len(texts) + 1).cast("int"))
+        number = F.lpad((F.col("id") % 10_000).cast("string"), 4, "0")
+        return spark.range(n).select((F.col("id") + at).alias("doc_id"), F.regexp_replace(text, F.lit("%0?4?d"), number).alias("text"))
+
+    docs = filled(planted, PLANTED, 0).unionByName(filled(decoys, DECOYS, 1_000_000))
+    docs = docs.unionByName(spark.range(300).select((F.col("id") + 2_000_000).alias("doc_id"), F.lit("mail a.b@example.com or phone +1 (555) 123-4567").alias("text")))
+    got = pii.digest(pii.find_personal_data(docs)).select("doc_id", "n_added").groupBy((F.col("doc_id") >= 1_000_000).alias("decoy")).agg(F.sum("n_added").alias("n")).collect()
+    added = {r.decoy: r.n for r in got}
+    assert added.get(False, 0) == planted and added[True] == 0
+
+
+def test_label_model_keeps_its_classes():
+    for n in (10, 1_000, 1_000_000):
+        post = pii.label_model({"11111": n, "1-111": n, "10011": n, "00000": 3 * n})
+        assert post["11111"] > 0.9 and post["10011"] < 0.5 and post["00000"] < 0.05
+        assert pii.label_model({"10011": n})["10011"] < 0.5
+        assert pii.label_model({"11111": n})["11111"] > 0.9
+    assert pii.label_model({}) == {}
 
 
 def test_secret_base_spans(spark, small, odd_docs):
@@ -84,6 +112,25 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert text[9] == "x [secret:assign] y [secret:prefixed]" and text[0] == "[example:assign]"
 
 
+def test_verdict_weighs_owners_and_repositories(spark):
+    rows = [(i, "token = templatevalue1", f"l{i}", "one") for i in range(9)]  # nine repositories of one owner
+    rows += [(20 + i, "token = sharedvalue123", "en", f"o{i}") for i in range(3)]  # three owners, a repository each
+    rows += [(30 + i, "token = privatevalue12", f"l{i}", f"o{i % 2}") for i in range(4)]  # two owners, four repositories
+    rows += [(40, None, None, None), (41, "secret: ghostvalue12", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    live = {r.doc_id: [s.live for s in r.spans] for r in secret_scan.scan(docs).collect()}
+    assert [live[i][0] for i in (0, 8, 20, 30, 33, 41)] == [False, False, False, True, True, True] and live[40] == []
+    assert all(r.spans[0].live for r in secret_scan.scan(docs, most_repositories=9).where("doc_id < 9").collect())
+
+
+def test_further_shapes_are_added_when_they_look_live(spark):
+    copied = "ghp_" + "c1D2" * 10
+    rows = [(i, f"use {copied} here", "en", f"o{i}") for i in range(4)] + [(9, "key ghp_" + "a1B2" * 10 + " and AbC1" + "d2E3" * 8, "en", "o1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
+    assert got[0].spans == "" and got[9].spans == "prefixed:4:48,mixed:53:89" and got[9].n_live == 2
+
+
 def test_empty_tables(spark, no_docs):
     assert pii.digest(pii.find_personal_data(no_docs)).count() == 0
     assert secret_scan.digest(secret_scan.scan(no_docs)).count() == 0
