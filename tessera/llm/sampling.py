@@ -22,3 +22,11 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, mod: int, held_out
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     ids = ids.join(known, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return id_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, column: str, mod: int, held_out: int, sample: int) -> DataFrame:
+    """(doc_id, text) of at most ``sample`` documents outside the held-out fold that have no label, taken by the hash of their id."""
+    told = labels.where(F.col(column).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(fraction_of_crc("doc_id", mod) != held_out).distinct()
+    ids = ids.join(told, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return id_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))

@@ -1,16 +1,19 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: lexicon voters (word beginnings mined from the labelled sample) and pattern
-voters (shouting, repeated marks, a word said over and over), and the annotators' label is one voter more, noisy
-like the others.  A generative label model estimates by expectation-maximisation how often each
-voter fires on toxic and on other documents.  It also estimates the voters' correlations within each class
-and discounts those that repeat one another.  A linear classifier over word beginnings is then
-trained on the posterior labels and scores all documents.
+Many voters look at a document: lexicon voters (``voters`` word beginnings mined from the labelled sample) and pattern
+voters (shouting, repeated marks, a word said over and over).  They vote on labelled and on unlabelled documents alike; where there is
+an annotators' label it is one voter more, noisy like the others.  A generative label model estimates by expectation-maximisation how
+often each voter fires on toxic and on other documents.  It also estimates the voters' correlations within each class
+and discounts those that repeat one another.  A linear classifier over the ``features`` word beginnings that tell the classes apart most is
+then trained on the posteriors of all these documents, but for those without a label or a vote, and scores every document.
 
-Labels come from a bounded sample (``sample`` documents).  Everything else covers all rows and whole texts.
+Labels come from a bounded sample (``sample`` documents), unlabelled documents from another (``more`` documents), both by the hash of
+the id and outside the held-out fold.  They reach the driver as hashes.  Everything else covers all rows and whole texts.
 
 Defined results: null and empty texts get the classifier's score for no features; without any labelled
-document every score is below 0.5; one row per input row; further columns are ignored.
+document every score is below 0.5; very long texts are scored whole, in memory in proportion to their distinct words; equal texts get
+equal scores; one row per input row; further columns are ignored unless kept, and those to keep may not be called ``held_out``,
+``score`` or ``predicted``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fraction_of_crc
-from .sampling import labelled
+from .sampling import labelled, unlabelled
 
 #: Lengths of the word beginnings that are features.
 LENGTHS = (3, 4, 5, 6)
@@ -61,82 +64,126 @@ class Model:
     weights: dict[int, float]
 
 
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior of the toxic class for each row of ``votes`` (rows x voters, 0 or 1).
 
-    ``anchor`` is the annotators' vote, from which the posterior starts.  Each voter's log
+    ``anchor`` is the annotators' vote: 1, 0, or -1 where there is none.  The rates start from the rows that have one.  Each voter's log
     likelihood ratio is divided by one plus the sum of its positive correlations with the others inside
     a class, so that voters which fire together count once.
     """
-    v = np.concatenate([votes, anchor[:, None]], axis=1).astype(np.float64)
-    post = np.clip(anchor.astype(np.float64), 0.05, 0.95)
+    v = votes.astype(np.float64)
+    told = anchor >= 0
+    post = np.where(told, np.clip(anchor, 0.05, 0.95), 0.0)
+    weight = told.astype(np.float64)  # rows without a label join once the rates are known
     for _ in range(rounds):
-        prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-        p1 = (post @ v + 0.5) / (post.sum() + 1)
-        p0 = ((1 - post) @ v + 0.5) / ((1 - post).sum() + 1)
+        one, other = post * weight, (1 - post) * weight
+        prior = np.clip(one.sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4)
+        p1, p0 = (one @ v + 0.5) / (one.sum() + 1), (other @ v + 0.5) / (other.sum() + 1)
         share = np.zeros(v.shape[1])
-        for weight, p in ((post, p1), (1 - post, p0)):
-            centred = (v - p) * np.sqrt(weight / max(weight.sum(), 1e-9))[:, None]
+        for of_class, p in ((one, p1), (other, p0)):
+            centred = (v - p) * np.sqrt(of_class / max(of_class.sum(), 1e-9))[:, None]
             cov = centred.T @ centred
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.clip(cov / np.outer(sd, sd), 0, 1)
             np.fill_diagonal(corr, 0)
             share = np.maximum(share, corr.sum(axis=1))
-        share[-1] = 0  # the annotators look at the text, not at the other voters
         on, off = np.log(p1 / p0) / (1 + share), np.log((1 - p1) / (1 - p0)) / (1 + share)
         logit = np.log(prior / (1 - prior)) + v @ on + (1 - v) @ off
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        # the annotators look at the text, not at the other voters: their rates stand alone
+        y = (anchor == 1) & told
+        a1 = (post[told] @ y[told] + 0.5) / (post[told].sum() + 1)
+        a0 = ((1 - post[told]) @ y[told] + 0.5) / ((1 - post[told]).sum() + 1)
+        logit += np.where(told, np.where(y, np.log(a1 / a0), np.log((1 - a1) / (1 - a0))), 0.0)
+        post, weight = _sigmoid(logit), np.ones(len(v))
     return post
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sample: int = 12_000, voters: int = 96, features: int = 4_000) -> Model:
-    """The classifier; at most ``sample`` labelled documents outside the held-out fold are read, as hashes."""
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sample: int = 12_000, more: int = 4_000, voters: int = 96, features: int = 4_000) -> Model:
+    """The classifier; at most ``sample`` labelled and ``more`` other documents outside the held-out fold are read, as hashes."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([feature_hashes(t).tobytes() for t in texts], pa.binary()), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))], ["label", "hashes", "patterns"])
 
-    chosen = labelled(docs, labels, "toxic", mod, held_out, sample).repartition("doc_id")
-    got = chosen.select("doc_id", "text", "label").mapInArrow(run, "label int, hashes binary, patterns array<boolean>").toArrow()
-    y = (np.array(got.column("label").to_pylist(), dtype=np.int64) > 0).astype(np.int64)
-    if not len(y):
+    known = labelled(docs, labels, "toxic", mod, held_out, sample).select("doc_id", "text", "label")
+    rest = unlabelled(docs, labels, "toxic", mod, held_out, more).select("doc_id", "text", F.lit(-1).alias("label"))
+    got = known.unionByName(rest).repartition("doc_id").mapInArrow(run, "label int, hashes binary, patterns array<boolean>").toArrow()
+    label = np.array(got.column("label").to_pylist(), dtype=np.int64)
+    anchor = np.where(label < 0, -1, label > 0)
+    if not (anchor >= 0).any():
         return Model(-5.0, {})
     rows = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for c in got.column("hashes").chunks for x in c]
-    marks = np.array(got.column("patterns").to_pylist(), dtype=bool).reshape(len(y), -1)
+    marks = np.array(got.column("patterns").to_pylist(), dtype=bool).reshape(len(rows), -1)
     del got
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     names, col = np.unique(np.concatenate(rows), return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    c1 = np.bincount(col, weights=y[row], minlength=len(names))
-    c0 = np.bincount(col, minlength=len(names)) - c1
+    told = anchor >= 0
+    n1 = int((anchor == 1).sum())
+    n0 = int(told.sum()) - n1
+    c1 = np.bincount(col, weights=(anchor == 1)[row], minlength=len(names))
+    c0 = np.bincount(col, weights=told[row], minlength=len(names)) - c1
     odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
     # lexicon voters: beginnings that mark the toxic class; classifier features: those that tell most either way
     worth = odds * np.sqrt(c1)
     lexicon = np.argsort(-worth, kind="stable")[:voters]
     lexicon = lexicon[(c1[lexicon] >= 3) & (odds[lexicon] > 2)]
-    told = np.abs(odds) * np.sqrt(c1 + c0) * (c1 + c0 >= 3)
-    kept = np.argsort(-told, kind="stable")[: min(features, int((told > 0).sum()))]
-    votes = np.zeros((len(y), len(lexicon)), dtype=bool)
+    telling = np.abs(odds) * np.sqrt(c1 + c0) * (c1 + c0 >= 3)
+    kept = np.argsort(-telling, kind="stable")[: min(features, int((telling > 0).sum()))]
+    votes = np.zeros((len(rows), len(lexicon)), dtype=bool)
     place = np.full(len(names), -1)
     place[lexicon] = np.arange(len(lexicon))
     hit = place[col] >= 0
     votes[row[hit], place[col[hit]]] = True
-    post = label_model(np.concatenate([votes, marks], axis=1), y)
+    votes = np.concatenate([votes, marks], axis=1)
+    post = label_model(votes, anchor)
+    # documents on which nobody votes teach the classifier nothing
+    voted = np.flatnonzero(told | votes.any(axis=1))
+    number = np.full(len(rows), -1)
+    number[voted] = np.arange(len(voted))
     place[:] = -1
     place[kept] = np.arange(len(kept))
-    hit = place[col] >= 0
-    w, b = _logistic(row[hit], place[col[hit]], len(y), len(kept), post)
+    hit = (place[col] >= 0) & (number[row] >= 0)
+    row, col, target = number[row[hit]], place[col[hit]], post[voted]
+    w, b = _logistic(row, col, len(voted), len(kept), target)
+    b -= _cut(row, col, len(kept), target, anchor[voted])
     return Model(float(b), {int(names[k]): float(x) for k, x in zip(kept, w) if abs(x) > 1e-4})
 
 
+def _cut(row: np.ndarray, col: np.ndarray, m: int, target: np.ndarray, anchor: np.ndarray, folds: int = 3, dear: float = 3.0) -> float:
+    """The logit that parts the labelled documents best, each scored by a classifier that has not seen it.
+
+    A clean document above the cut costs ``dear`` times what a toxic one below costs; both count as shares of their class.
+    """
+    n = len(target)
+    logit, fold = np.zeros(n), np.arange(n) % folds
+    for k in range(folds):
+        seen = fold[row] != k
+        # documents of the fold keep their number but have no features and the mean target: they pull nowhere
+        w, b = _logistic(row[seen], col[seen], n, m, np.where(fold == k, target[fold != k].mean(), target))
+        z = np.bincount(row, weights=w[col], minlength=n) + b
+        logit[fold == k] = z[fold == k]
+    toxic, clean = np.sort(logit[anchor == 1]), np.sort(logit[anchor == 0])
+    if not len(toxic) or not len(clean):
+        return 0.0
+    edges = np.sort(np.concatenate([toxic, clean]))
+    cuts = np.concatenate([edges[:1] - 1, (edges[1:] + edges[:-1]) / 2, edges[-1:] + 1])
+    cost = np.searchsorted(toxic, cuts) / len(toxic) + dear * (1 - np.searchsorted(clean, cuts) / len(clean))
+    best = cuts[cost <= cost.min() + 1e-12]
+    return float((best[0] + best[-1]) / 2)
+
+
 def _logistic(row: np.ndarray, col: np.ndarray, n: int, m: int, y: np.ndarray, rounds: int = 200, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features at (row, col) by Adam over whole passes."""
     w, b = np.zeros(m), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     mean, var, mean_b, var_b = np.zeros(m), np.zeros(m), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(row, weights=w[col], minlength=n) + b
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        d = (_sigmoid(z) - y) / n
         g, gb = np.bincount(col, weights=d[row], minlength=m) + l2 * w, d.sum()
         mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
         mean_b, var_b = 0.9 * mean_b + 0.1 * gb, 0.999 * var_b + 0.001 * gb * gb

@@ -110,14 +110,42 @@ def test_a_text_of_four_megabytes_of_lines_needs_bounded_memory():
     assert tracemalloc.get_traced_memory()[1] < 400_000_000
     tracemalloc.stop()
 
+def planted_votes(rng, n, share=0.2):
+    """Five voters that repeat one another, two independent ones, and noisy annotators."""
+    y = rng.random(n) < share
+    one = np.where(y, rng.random(n) < 0.8, rng.random(n) < 0.05)
+    others = [np.where(y, rng.random(n) < p, rng.random(n) < q) for p, q in ((0.6, 0.1), (0.7, 0.02))]
+    return y, np.stack([one] * 5 + others, axis=1), np.where(rng.random(n) < 0.05, ~y, y).astype(int)
+
+
 def test_label_model_counts_repeating_voters_once():
-    rng = np.random.default_rng(0)
-    y = rng.random(2000) < 0.2
-    one = np.where(y, rng.random(2000) < 0.8, rng.random(2000) < 0.05)
-    votes = np.stack([one] * 5 + [np.where(y, rng.random(2000) < 0.6, rng.random(2000) < 0.1)], axis=1)
-    noisy = np.where(rng.random(2000) < 0.05, ~y, y)
-    post = toxicity.label_model(votes, noisy.astype(int))
+    y, votes, noisy = planted_votes(np.random.default_rng(0), 4000)
+    post = toxicity.label_model(votes, noisy)
     assert ((post > 0.5) == y).mean() >= (noisy == y).mean()
+    once = toxicity.label_model(votes[:, 4:], noisy)
+    assert np.abs(post - once).mean() < 0.05  # four more copies of a voter change little
+
+
+def test_label_model_labels_documents_without_a_label():
+    y, votes, noisy = planted_votes(np.random.default_rng(1), 6000)
+    noisy[1000:] = -1
+    post = toxicity.label_model(votes, noisy)
+    assert ((post[1000:] > 0.5) == y[1000:]).mean() > 0.9  # all clean: 0.8
+    assert abs(post[1000:].mean() - y[1000:].mean()) < 0.05
+
+
+def test_linear_classifier_finds_planted_features():
+    rng = np.random.default_rng(2)
+    x = rng.random((2000, 30)) < 0.2
+    truth = np.zeros(30)
+    truth[:4] = 3, -3, 2, 4
+    y = 1 / (1 + np.exp(-(x @ truth - 2)))
+    row, col = np.nonzero(x)
+    w, b = toxicity._logistic(row, col, 2000, 30, y)
+    assert np.abs(w - truth).max() < 0.2 and abs(b + 2) < 0.2
+    anchor = (rng.random(2000) < y).astype(int)
+    cut = toxicity._cut(row, col, 30, y, anchor)
+    assert -1 < cut < 4  # clean documents are dear: the cut is above one half
 
 
 def direct_mixing(training, depth):
