@@ -2,12 +2,15 @@
 
 Candidates are the matches of three base patterns and of further token shapes.  The hash of every
 candidate's value is aggregated over the whole corpus to the numbers of distinct repositories
-and owners that hold it.  A value that many owners hold is a copied example; one that stays with few
-owners looks live.  Base spans stay either way and carry the verdict; further candidates are added
-only when they look live: few owners, mixed characters.
+and owners that hold it.  A value that more than ``most_owners`` owners hold, or more than ``most_repositories`` repositories whoever owns them, is a
+copied example; one that stays with few of both looks live.  Base spans stay either way and carry the verdict; further candidates are added
+only when they look live and, for long words, mix characters.
 
-Defined results: null texts count as empty; a null source is an owner of its own; one row per input row,
-repeated ids included; an empty corpus has an empty result; further columns are kept apart.
+Only texts with candidates are shuffled, by row; values that hold over a thousandth of all candidates are broadcast with their verdict.
+
+Defined results: null texts count as empty; a null source is an owner of its own; very long texts are searched whole; one row per
+input row, repeated ids included; an empty corpus has an empty result; further columns are kept apart, and columns to keep may have any
+name but those beginning with ``__secret``.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import matched, stage
 from .spans import count_kind, find, joined, overlaps
 
 KINDS = ["assign", "access", "hex"]
@@ -57,11 +60,17 @@ def _candidates(text: Column) -> Column:
     return F.concat(*out)
 
 
-def scan(docs: DataFrame, repository: list[str] | None = None, owner: str = "source", most_owners: int = 2, keep: list[str] | None = None) -> DataFrame:
+def verdicts(spans: DataFrame, most_owners: int, most_repositories: int) -> DataFrame:
+    """(hash, n, owners, repositories, copied) of every value of spans(hash, repo, owner); n counts its spans."""
+    by_owner = spans.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repositories"))
+    of_value = by_owner.groupBy("hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    return of_value.withColumn("copied", (F.col("owners") > most_owners) | (F.col("repositories") > most_repositories))
+
+
+def scan(docs: DataFrame, repository: list[str] | None = None, owner: str = "source", most_owners: int = 2, most_repositories: int = 6, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, spans) for every row; spans is array<struct<kind, start, end, base, live>>.
 
-    ``repository`` names the columns that together name a repository (default: source and lang).
-    A value with more than ``most_owners`` owners counts as copied.
+    ``repository`` names the columns that together with the owner name a repository (default: source and lang).
     """
     repository = repository or ["source", "lang"]
     keep = keep or []
@@ -69,27 +78,23 @@ def scan(docs: DataFrame, repository: list[str] | None = None, owner: str = "sou
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *keep,
-        F.concat_ws("\u0001", *map(name, repository)).alias("__repo"),
-        name(owner).alias("__owner"),
-        _candidates(F.coalesce("text", F.lit(""))).alias("__found"),
-        F.monotonically_increasing_id().alias("__row"),
+        F.concat_ws("\u0001", *map(name, repository)).alias("__secret_repo"),
+        name(owner).alias("__secret_owner"),
+        _candidates(F.coalesce("text", F.lit(""))).alias("__secret_found"),
+        F.monotonically_increasing_id().alias("__secret_row"),
     )
     # written once: a row's number then stays the same whatever fails later
     found = stage(found, "secrets")
-    spans = found.where(F.size("__found") > 0).select("__row", "__repo", "__owner", F.explode("__found").alias("s"))
-    held = spans.select(F.col("s.hash").alias("hash"), "__repo", "__owner").distinct()
-    by_owner = held.groupBy("hash", "__owner").agg(F.count(F.lit(1)).alias("repos"))
-    frequency = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"))
-    copied = frequency.where(F.col("owners") > most_owners).select(F.col("hash").alias("__hash"), F.lit(True).alias("copied"))
-    judged = spans.join(copied, F.col("s.hash") == F.col("__hash"), "left").select("__row", F.struct("s.kind", "s.start", "s.end", "s.base", F.coalesce(~F.col("copied"), F.lit(True)).alias("live")).alias("s"))
-    by_row = judged.groupBy(F.col("__row").alias("__of")).agg(F.array_sort(F.collect_list("s")).alias("__all"))
-    spans_type = "array<struct<kind:string,start:int,end:int,base:boolean,live:boolean>>"
-    out = found.join(by_row, found["__row"] == by_row["__of"], "left").withColumn("__all", F.coalesce("__all", F.array().cast(spans_type)))
-    base = F.filter("__all", lambda s: s["base"])
-    out = out.withColumn("__base", base)
-    out = out.withColumn("__named", F.filter("__all", lambda s: s["kind"] != "mixed"))
-    added = F.filter("__all", lambda s: ~s["base"] & s["live"] & ~overlaps(s, F.col("__base")) & ((s["kind"] != "mixed") | ~overlaps(s, F.col("__named"))))
-    return out.select("doc_id", *keep, F.concat("__base", added).alias("spans"))
+    spans = found.where(F.size("__secret_found") > 0).select(F.col("__secret_row").alias("row"), F.col("__secret_repo").alias("repo"), F.col("__secret_owner").alias("owner"), F.explode("__secret_found").alias("s")).select("row", "repo", "owner", "s", "s.hash")
+    values = verdicts(spans, most_owners, most_repositories).select("hash", "n", "copied")
+    judged = matched(spans.select("row", "s", "hash"), values, ["hash"], "n")
+    by_row = judged.select("row", F.struct("s.kind", "s.start", "s.end", "s.base", (~F.col("copied")).alias("live")).alias("s")).groupBy(F.col("row").alias("__secret_of")).agg(F.array_sort(F.collect_list("s")).alias("__secret_all"))
+    some = found.where(F.size("__secret_found") > 0).join(by_row, F.col("__secret_row") == F.col("__secret_of"))
+    some = some.withColumn("__secret_base", F.filter("__secret_all", lambda s: s["base"])).withColumn("__secret_named", F.filter("__secret_all", lambda s: s["kind"] != "mixed"))
+    added = F.filter("__secret_all", lambda s: ~s["base"] & s["live"] & ~overlaps(s, F.col("__secret_base")) & ((s["kind"] != "mixed") | ~overlaps(s, F.col("__secret_named"))))
+    none = found.where(F.size("__secret_found") == 0)
+    spans_type = some.select(F.concat("__secret_base", added).alias("spans")).schema["spans"].dataType
+    return some.select("doc_id", *keep, F.concat("__secret_base", added).alias("spans")).unionByName(none.select("doc_id", *keep, F.array().cast(spans_type).alias("spans")))
 
 
 def redact(text: Column, spans: Column) -> Column:
