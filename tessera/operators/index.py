@@ -11,9 +11,15 @@ KEYS = ["path", "ordinal"]
 DIMENSIONS = 64
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(path, ordinal, term, tf) of chunks(path, ordinal, text)."""
-    return chunks.select(*KEYS, F.explode(tokens(F.col("text"))).alias("term")).groupBy(*KEYS, "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(path, ordinal, term, tf, dl) of chunks(path, ordinal, text): dl is the number of tokens of the chunk.
+
+    ``only`` (term) keeps its terms alone, before anything is shuffled.
+    """
+    cells = chunks.select(*KEYS, tokens(F.col("text")).alias("tokens")).select(*KEYS, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    if only is not None:
+        cells = cells.join(only, "term", "left_semi")
+    return cells.groupBy(*KEYS, "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select(*KEYS, "term", "tf", "dl")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -55,7 +61,13 @@ def hashed_vectors(rows: DataFrame, keys: list[str], text: str = "text") -> Data
     return rows.select(*keys).join(made, keys, "left").withColumn("vector", F.coalesce("vector", zero))
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, dimensions: int | None = None) -> Column:
+    """Of arrays; with a known number of ``dimensions`` the sum is one compiled expression."""
+    if dimensions:
+        total = F.lit(0.0)
+        for i in range(dimensions):
+            total = total + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
+        return total
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 

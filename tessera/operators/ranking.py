@@ -3,18 +3,22 @@
 Scores are rounded to nine decimals before they are ordered: the order of floating-point
 sums is not fixed on a cluster, and ties are then broken by path and ordinal.
 All statistics are taken over the whole corpus; a project filter applies after scoring.
+
+No task gets all chunks of a question: maxima are aggregates that are joined back, ranks are counted inside bands of
+scores and added up over the bands, and the last orders are taken over the few files that can still win.
+Several policies are ranked over the same scores in one plan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import folded, keyword_terms, tokens, words
-from .index import KEYS, document_frequency, dot, idf, lengths, path_terms, postings, statistics
+from .index import DIMENSIONS, KEYS, document_frequency, dot, idf, path_terms, postings, statistics
 
 # Fixed values.
 K1, B, COVERAGE_BONUS = 1.5, 0.75, 0.18
@@ -54,23 +58,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(keyword_terms(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, posting: DataFrame | None = None) -> DataFrame:
-    """(query_id, path, ordinal, lexical, matched, coverage) for chunks that share a term with a query."""
-    terms = query_terms(queries)
+def bm25(queries: DataFrame, chunks: DataFrame, posting: DataFrame | None = None, stats: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, path, ordinal, lexical, matched, coverage) for chunks that share a term with a query.
+
+    ``posting`` (path, ordinal, term, tf, dl) and ``stats`` (n_chunks, avgdl) may be stored ones; terms(query_id, term, qtf) may
+    replace the keyword terms of the questions.
+    """
+    terms = query_terms(queries) if terms is None else terms
     n_terms = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    wanted = (posting if posting is not None else postings(chunks)).join(terms.select("term").distinct(), "term", "left_semi")
-    hits = terms.join(wanted, "term").join(document_frequency(wanted), "term").join(lengths(chunks), KEYS).crossJoin(F.broadcast(statistics(chunks)))
+    asked = terms.select("term").distinct()
+    wanted = postings(chunks, asked) if posting is None else posting.join(asked, "term", "left_semi")
+    stats = statistics(chunks) if stats is None else stats
+    hits = terms.join(wanted, "term").join(document_frequency(wanted), "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf")
     weight = F.col("qtf") * idf(F.col("n_chunks"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(F.lit(1.0), F.col("avgdl"))))
     scored = hits.groupBy("query_id", *KEYS).agg(F.round(F.sum(weight), 9).alias("lexical"), F.count(F.lit(1)).alias("matched"))
     return scored.join(n_terms, "query_id").withColumn("coverage", F.col("matched") / F.col("n_terms")).drop("n_terms")
 
 
-def term_weights(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def term_weights(queries: DataFrame, chunks: DataFrame, posting: DataFrame | None = None) -> DataFrame:
     """(query_id, term, weight): idf of every distinct token of a question, stopwords and unseen terms included."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
+    asked = terms.select("term").distinct()
     n = chunks.agg(F.count(F.lit(1)).alias("n_chunks"))
-    found = terms.join(document_frequency(postings(chunks)), "term", "left").crossJoin(F.broadcast(n))
+    wanted = postings(chunks, asked) if posting is None else posting.join(asked, "term", "left_semi")
+    found = terms.join(document_frequency(wanted), "term", "left").crossJoin(F.broadcast(n))
     return found.select("query_id", "term", idf(F.col("n_chunks"), F.coalesce("df", F.lit(0))).alias("weight"))
 
 
@@ -82,10 +94,10 @@ def path_overlap(queries: DataFrame, sources: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "path", "n").agg(F.count(F.lit(1)).alias("shared")).select("query_id", "path", (F.col("shared") / F.col("n")).alias("overlap"))
 
 
-def similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def similarity(queries: DataFrame, vectors: DataFrame, dimensions: int | None = DIMENSIONS) -> DataFrame:
     """(query_id, keys of vectors, similarity): every question against every row; both sides have ``vector``."""
     q = queries.select("query_id", F.col("vector").alias("__q"))
-    return vectors.crossJoin(q).withColumn("similarity", F.round(dot(F.col("vector"), F.col("__q")), 9)).drop("vector", "__q")
+    return vectors.crossJoin(q).withColumn("similarity", F.round(dot(F.col("vector"), F.col("__q"), dimensions), 9)).drop("vector", "__q")
 
 
 def top(rows: DataFrame, by: list, k: int, group: str = "query_id") -> DataFrame:
@@ -94,64 +106,123 @@ def top(rows: DataFrame, by: list, k: int, group: str = "query_id") -> DataFrame
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(rows: DataFrame, policy: Policy) -> DataFrame:
-    """Adds ``relevance`` to rows(query_id, path, ordinal, lexical, similarity) that hold every chunk of every query."""
-    all_rows = Window.partitionBy("query_id")
-    most = F.max("lexical").over(all_rows)
-    keyword = F.col("lexical") / F.when(most > 0, most).otherwise(1.0)
-    w = policy.dense_weight
-    if policy.fusion == "keyword":
-        return rows.withColumn("relevance", keyword)
-    if policy.fusion == "raw":
-        return rows.withColumn("relevance", w * (F.col("similarity") + 1) / 2 + (1 - w) * keyword)
-    if policy.fusion == "minmax":
-        lo, hi = F.min("similarity").over(all_rows), F.max("similarity").over(all_rows)
-        scaled = F.when(hi > lo, (F.col("similarity") - lo) / (hi - lo)).otherwise(0.0)
-        return rows.withColumn("relevance", w * scaled + (1 - w) * keyword)
-    if policy.fusion != "rrf":
-        raise ValueError(f"unknown fusion '{policy.fusion}'")
-    dense_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), *KEYS))
-    # all chunks without a query term share the rank after the last match
-    word_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), *KEYS))
-    matched = F.count(F.when(F.col("lexical") > 0, 1)).over(all_rows)
-    rows = rows.withColumns({"__dense": dense_rank, "__word": F.when(F.col("lexical") > 0, word_rank).otherwise(matched + 1)})
-    rows = rows.withColumn("__fused", w / (policy.rrf_k + F.col("__dense")) + (1 - w) / (policy.rrf_k + F.col("__word")))
-    best = F.max("__fused").over(all_rows)
-    return rows.withColumn("relevance", F.col("__fused") / F.when(best > 0, best).otherwise(1.0)).drop("__dense", "__word", "__fused")
-
-
-def rank(queries: DataFrame, chunks: DataFrame, policy: Policy, project: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, score, path, ordinal): the best chunk of each of the best ``top_k`` files.
-
-    queries(query_id, question[, vector]); chunks(path, ordinal, text, project, root_label, mtime);
-    vectors(path, ordinal, vector) unless the policy is keyword-only.
+#: Bands of scores in which ranks are counted.
+_BANDS = 4096
+
+
+def placed(rows: DataFrame, value: str, high: Column, low: Column, name: str) -> DataFrame:
+    """Adds the place of each row in its query by descending ``value``, ties by path and ordinal; values lie between low and high.
+
+    Rows are numbered inside bands of the value, and the rows in higher bands are added.
     """
-    lexical = bm25(queries, chunks)
+    share = F.when(high > low, (high - F.col(value)) / (high - low)).otherwise(0.0)
+    banded = rows.withColumn("__band", F.least(F.floor(share * _BANDS), F.lit(_BANDS)).cast("int"))
+    above = Window.partitionBy("query_id").orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    before = banded.groupBy("query_id", "__band").agg(F.count(F.lit(1)).alias("__n"))
+    before = before.select("query_id", "__band", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("query_id", "__band").orderBy(F.desc(value), *KEYS)
+    numbered = banded.withColumn("__no", F.row_number().over(inside)).join(before, ["query_id", "__band"])
+    return numbered.withColumn(name, F.col("__before") + F.col("__no")).drop("__band", "__no", "__before")
+
+
+def _policies(spark, policies: list[Policy]) -> DataFrame:
+    rows = [(p.policy_id, p.fusion, float(p.dense_weight), p.rrf_k, float(p.recency_weight), float(p.metadata_weight), p.rerank_budget, p.top_k) for p in policies]
+    return spark.createDataFrame(rows, "policy_id string, fusion string, w double, rrf_k int, recency_weight double, metadata_weight double, budget int, top_k int")
+
+
+def fuse(rows: DataFrame, policies: Policy | list[Policy]) -> DataFrame:
+    """rows(query_id, path, ordinal, lexical, similarity, ...) once for each policy, with the policy's columns and ``relevance``.
+
+    The rows hold every chunk of every query, or for keyword policies those with a match.
+    """
+    policies = [policies] if isinstance(policies, Policy) else policies
+    used = {p.fusion for p in policies}
+    unknown = used - {"keyword", "raw", "minmax", "rrf"}
+    if unknown:
+        raise ValueError(f"unknown fusion '{sorted(unknown)[0]}'")
+    ends = [F.max("lexical").alias("__most")]
+    if used & {"minmax", "rrf"}:
+        ends += [F.min("similarity").alias("__lo"), F.max("similarity").alias("__hi"), F.count_if(F.col("lexical") > 0).alias("__matched")]
+    rows = rows.join(rows.groupBy("query_id").agg(*ends), "query_id")
+    keyword = F.col("lexical") / F.when(F.col("__most") > 0, F.col("__most")).otherwise(1.0)
+    w = F.col("w")
+    relevance = F.when(F.col("fusion") == "keyword", keyword)
+    if "raw" in used:
+        relevance = relevance.when(F.col("fusion") == "raw", w * (F.col("similarity") + 1) / 2 + (1 - w) * keyword)
+    if "minmax" in used:
+        scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col("similarity") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
+        relevance = relevance.when(F.col("fusion") == "minmax", w * scaled + (1 - w) * keyword)
+    if "rrf" in used:
+        rows = placed(rows, "similarity", F.col("__hi"), F.col("__lo"), "__dense")
+        # all chunks without a query term share the rank after the last match
+        found = placed(rows.where("lexical > 0").select("query_id", *KEYS, "lexical", "__most"), "lexical", F.col("__most"), F.lit(0.0), "__word").select("query_id", *KEYS, "__word")
+        rows = rows.join(found, ["query_id", *KEYS], "left").withColumn("__word", F.coalesce("__word", F.col("__matched") + 1))
+        relevance = relevance.when(F.col("fusion") == "rrf", w / (F.col("rrf_k") + F.col("__dense")) + (1 - w) / (F.col("rrf_k") + F.col("__word")))
+    rows = rows.crossJoin(F.broadcast(_policies(rows.sparkSession, policies))).withColumn("relevance", relevance)
+    if "rrf" in used:
+        best = rows.where("fusion = 'rrf'").groupBy("query_id", "policy_id").agg(F.max("relevance").alias("__best"))
+        rows = rows.join(best, ["query_id", "policy_id"], "left")
+        rows = rows.withColumn("relevance", F.when(F.col("fusion") == "rrf", F.col("relevance") / F.when(F.col("__best") > 0, F.col("__best")).otherwise(1.0)).otherwise(F.col("relevance"))).drop("__best")
+    return rows.drop("__most", "__lo", "__hi", "__matched", "__dense", "__word")
+
+
+def rank(queries: DataFrame, chunks: DataFrame, policy: Policy | list[Policy], project: str | None = None, vectors: DataFrame | None = None, posting: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, score, path, ordinal): the best chunk of each of the best ``top_k`` files; of a list of policies also policy_id.
+
+    queries(query_id, question[, vector]); chunks(path, ordinal, project, root_label, mtime[, text]); vectors(path, ordinal, vector)
+    unless the policies are keyword-only; the text is needed only without stored ``posting`` and ``stats`` (see bm25).
+    """
+    policies = [policy] if isinstance(policy, Policy) else policy
+    sparse = all(p.fusion == "keyword" for p in policies)
+    lexical = bm25(queries, chunks, posting, stats)
     overlap = path_overlap(queries, chunks)
-    files = chunks.select(*KEYS, "project", "mtime")
-    span = chunks.agg(F.min("mtime").alias("__lo"), F.greatest(F.lit(1.0), F.max("mtime") - F.min("mtime")).alias("__range"))
-    if policy.fusion == "keyword":
+    files = chunks.select("path", "project", "mtime").distinct()
+    span = chunks.agg(F.min("mtime").alias("__from"), F.greatest(F.lit(1.0), F.max("mtime") - F.min("mtime")).alias("__range"))
+    if sparse:
         by_path = overlap.join(chunks.select(*KEYS), "path").select("query_id", *KEYS)
         rows = lexical.select("query_id", *KEYS).union(by_path).distinct()
     else:
         rows = similarity(queries, vectors)
     rows = rows.join(lexical, ["query_id", *KEYS], "left").na.fill(0.0, ["lexical", "coverage"])
-    rows = fuse(rows, policy).join(overlap, ["query_id", "path"], "left").na.fill(0.0, ["overlap"])
-    rows = rows.join(files, KEYS).crossJoin(F.broadcast(span))
-    score = F.col("relevance") + policy.recency_weight * (F.col("mtime") - F.col("__lo")) / F.col("__range") + policy.metadata_weight * F.col("overlap")
+    rows = fuse(rows, policies).join(overlap, ["query_id", "path"], "left").na.fill(0.0, ["overlap"])
+    if not sparse:  # a keyword policy has no use for chunks without any match
+        rows = rows.where("fusion != 'keyword' or lexical > 0 or overlap > 0")
+    rows = rows.join(files, "path").crossJoin(F.broadcast(span))
+    score = F.col("relevance") + F.col("recency_weight") * (F.col("mtime") - F.col("__from")) / F.col("__range") + F.col("metadata_weight") * F.col("overlap")
     rows = rows.withColumn("score", F.round(score, 9))
     if project:
         rows = rows.where(F.contains(folded(F.col("project")), F.lit(project.lower())))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *KEYS))
-    rows = rows.withColumn("__head", place <= policy.rerank_budget)
-    rows = rows.withColumn("final", F.round(F.col("score") + F.when(F.col("__head"), COVERAGE_BONUS * F.col("coverage")).otherwise(0.0), 9))
-    best = Window.partitionBy("query_id", "path").orderBy(F.desc("final"), F.desc("__head"), F.desc("score"), "ordinal")
-    rows = rows.withColumn("__no", F.row_number().over(best)).where("__no = 1")
-    return top(rows, [F.desc("final"), "path"], policy.top_k).select("query_id", F.col("rank").cast("long").alias("rank"), F.round("final", 6).alias("score"), "path", "ordinal")
+    # chunks of the head belong to the files whose best chunk is among the first; of all others only top_k can be shown
+    of_file = ["query_id", "policy_id", "path"]
+    by_file = rows.groupBy(*of_file).agg(F.max("score").alias("best"), F.first("budget").alias("budget"), F.first("top_k").alias("top_k"), F.collect_list(F.struct("score", "ordinal", "coverage")).alias("cells"))
+    most = max(p.rerank_budget + p.top_k for p in policies)
+    by_best = Window.partitionBy("query_id", "policy_id").orderBy(F.desc("best"), "path")
+    open_ = by_file.withColumn("__no", F.row_number().over(by_best)).where(F.col("__no") <= most)
+    cells = open_.select(*of_file, "budget", "top_k", F.explode("cells").alias("c")).select(*of_file, "budget", "top_k", "c.*")
+    head = F.row_number().over(Window.partitionBy("query_id", "policy_id").orderBy(F.desc("score"), *KEYS)) <= F.col("budget")
+    cells = cells.withColumn("head", head)
+    cells = cells.withColumn("final", F.round(F.col("score") + F.when(F.col("head"), COVERAGE_BONUS * F.col("coverage")).otherwise(0.0), 9))
+    shown = cells.groupBy(*of_file, "top_k").agg(F.max_by("ordinal", F.struct("final", "head", "score", -F.col("ordinal"))).alias("ordinal"), F.max("final").alias("final"))
+    place = F.row_number().over(Window.partitionBy("query_id", "policy_id").orderBy(F.desc("final"), "path"))
+    out = shown.withColumn("rank", place.cast("long")).where(F.col("rank") <= F.col("top_k"))
+    named = [] if isinstance(policy, Policy) else ["policy_id"]
+    return out.select(*named, "query_id", "rank", F.round("final", 6).alias("score"), "path", "ordinal")
 
 
 def score_spread(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, head: int = 20) -> DataFrame:
-    """(query_id, dense_spread, lexical_spread): max less min of both scores over the ``head`` densest chunks."""
+    """(query_id, dense_spread, lexical_spread): max less min over the ``head`` densest chunks of both scores, each brought to 0..1.
+
+    All tokens of a question count here, stopwords too.
+    """
+    terms = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    lexical = bm25(queries, chunks, terms=terms)
+    most = lexical.groupBy("query_id").agg(F.max("lexical").alias("most"))
     near = top(similarity(queries, vectors), [F.desc("similarity"), *KEYS], head)
-    both = near.join(bm25(queries, chunks), ["query_id", *KEYS], "left").na.fill(0.0, ["lexical"])
-    return both.groupBy("query_id").agg((F.max("similarity") - F.min("similarity")).alias("dense_spread"), (F.max("lexical") - F.min("lexical")).alias("lexical_spread"))
+    both = near.join(lexical, ["query_id", *KEYS], "left").join(most, "query_id", "left").na.fill(0.0, ["lexical", "most"])
+    dense, share = (F.col("similarity") + 1) / 2, F.col("lexical") / F.when(F.col("most") > 0, F.col("most")).otherwise(1.0)
+    return both.groupBy("query_id").agg((F.max(dense) - F.min(dense)).alias("dense_spread"), (F.max(share) - F.min(share)).alias("lexical_spread"))
+
+
+def median_spread(spreads: DataFrame) -> DataFrame:
+    """One row: the medians of both spreads over the questions."""
+    return spreads.agg(F.round(F.median("dense_spread"), 4).alias("dense_spread"), F.round(F.median("lexical_spread"), 4).alias("lexical_spread"))

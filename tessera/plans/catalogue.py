@@ -43,6 +43,7 @@ def _tok(x: str, pattern: str = T.TOKEN) -> str:
 _KEYWORDS_SQL = f"""asked AS (SELECT query_id, CASE WHEN len(few) = 0 THEN every ELSE few END AS terms
   FROM (SELECT query_id, every, list_filter(every, lambda t: t NOT IN {_STOP}) AS few FROM (SELECT query_id, {_tok('question')} AS every FROM questions))),
 terms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(terms) AS term FROM asked) GROUP BY ALL)"""
+_ALL_TERMS_SQL = f"""terms AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_tok('question')}) AS term FROM questions) GROUP BY ALL)"""
 _POSTINGS_SQL = f"""lengths AS (SELECT path, ordinal, len({_tok('text')}) AS dl FROM chunks),
 postings AS (SELECT path, ordinal, term, count(*) AS tf FROM (SELECT path, ordinal, unnest({_tok('text')}) AS term FROM chunks) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
@@ -213,25 +214,33 @@ _system("hybrid_norecency", ranking.Policy("hybrid-norecency", "raw", 0.55, rece
 _system("hybrid_project_filter", ranking.Policy(), "src1")
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS fusion, {w} AS dense_weight, * FROM ({_rank_sql(ranking.Policy(f'{f}', f, w))})" for f in ("raw", "minmax", "rrf") for w in (0.3, 0.7)))
+#: Fusion by dense weight: the cells of a sweep.
+_CELLS = [ranking.Policy(f"{f}/{w}", f, w) for f in ("raw", "minmax", "rrf") for w in (0.4, 0.5, 0.55, 0.7, 0.85, 1.0)]
+
+
+@query(" UNION ALL ".join(f"SELECT '{p.policy_id}' AS policy_id, * FROM ({_rank_sql(p)})" for p in _CELLS))
 def sweep_grid(spark, sf_dir):
     q, c, v = _corpus(spark, sf_dir)
-    out = None
-    for fusion in ("raw", "minmax", "rrf"):
-        for w in (0.3, 0.7):
-            cell = ranking.rank(q, c, ranking.Policy(fusion, fusion, w), None, v).select(F.lit(fusion).alias("fusion"), F.lit(w).alias("dense_weight"), "query_id", "rank", "score", "path", "ordinal")
-            out = cell if out is None else out.unionAll(cell)
-    return out
+    return ranking.rank(q, c, _CELLS, None, v)
+
+
+_SPREAD_SQL = f"""WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {_BM25_SQL.replace(_KEYWORDS_SQL, _ALL_TERMS_SQL)}, {_VECTORS_SQL}, near AS (SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path, ordinal) <= 20),
+spreads AS (SELECT query_id, max((similarity + 1) / 2) - min((similarity + 1) / 2) AS dense_spread, max(coalesce(lexical / most, 0)) - min(coalesce(lexical / most, 0)) AS lexical_spread
+FROM near LEFT JOIN bm25 USING (query_id, path, ordinal) LEFT JOIN (SELECT query_id, max(lexical) AS most FROM bm25 GROUP BY query_id) USING (query_id) GROUP BY query_id)"""
 
 
-@query(f"""WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {_BM25_SQL}, {_VECTORS_SQL}
-SELECT query_id, round(max(similarity) - min(similarity), 6) AS dense_spread, round(max(coalesce(lexical, 0)) - min(coalesce(lexical, 0)), 6) AS lexical_spread
-FROM (SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, path, ordinal) <= 20) LEFT JOIN bm25 USING (query_id, path, ordinal) GROUP BY query_id""")
+@query(f"{_SPREAD_SQL} SELECT query_id, round(dense_spread, 6) AS dense_spread, round(lexical_spread, 6) AS lexical_spread FROM spreads")
 def score_spread(spark, sf_dir):
     q, c, v = _corpus(spark, sf_dir)
     return ranking.score_spread(q, c, v).select("query_id", F.round("dense_spread", 6).alias("dense_spread"), F.round("lexical_spread", 6).alias("lexical_spread"))
 
 
+@query(f"{_SPREAD_SQL} SELECT round(median(dense_spread), 4) AS dense_spread, round(median(lexical_spread), 4) AS lexical_spread FROM spreads")
+def median_score_spread(spark, sf_dir):
+    q, c, v = _corpus(spark, sf_dir)
+    return ranking.median_spread(ranking.score_spread(q, c, v))
+
+
 @query()
 def snippet_texts(spark, sf_dir):
     q, c, _ = _corpus(spark, sf_dir, False)
