@@ -6,6 +6,8 @@ import argparse
 import json
 import sys
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Exit codes: search 0 hits, 1 none, 2 refused; verify 0 clean, 1 drift, 2 no index; 3 for errors."""
+    """Exit codes: search 0 hits, 1 none, 2 refused; status 1 no index; verify 0 clean, 1 drift, 2 no index; 3 for errors."""
     args = parser().parse_args(argv)
     try:
         return _run(args, spark)
-    except (RuntimeError, ValueError) as e:
+    except (PySparkException, Py4JError) as e:  # a table of the index that is damaged or gone, among others
+        lines = str(e).strip().splitlines() or [type(e).__name__]
+        print(f"error: the index cannot be read or written: {lines[0]}", file=sys.stderr)
+        return 3
+    except (RuntimeError, ValueError, KeyError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 3
     except BrokenPipeError:
@@ -60,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 def _run(args, spark) -> int:
     from pathlib import Path
 
-    from .engine import Engine, PrivateQuery
+    from .engine import Engine, NoIndex, PrivateQuery
     from .operators.trust import first_findings
 
     if args.command == "init":
@@ -81,7 +87,11 @@ def _run(args, spark) -> int:
         print(json.dumps(engine.refresh(full=args.full), sort_keys=True))
         return 0
     if args.command == "status":
-        meta = engine.metadata()
+        try:
+            meta = engine.metadata()
+        except NoIndex as e:
+            print(json.dumps({"error": str(e)}) if args.json else f"error: {e}", file=sys.stdout if args.json else sys.stderr)
+            return 1
         chunks = engine.read("chunks").count()
         projects = engine.read("sources").groupBy("project").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "project").limit(15).collect()
         print(json.dumps(meta | {"chunks": chunks, "projects": {r["project"]: r["files"] for r in projects}}, sort_keys=True))
@@ -92,18 +102,30 @@ def _run(args, spark) -> int:
         except RuntimeError as e:
             print(json.dumps({"error": str(e), "exit_code": 2}) if args.json else f"error: {e}", file=sys.stdout if args.json else sys.stderr)
             return 2
-        findings = engine.audit(args.deep).cache()
-        rows = findings.collect() if args.json else first_findings(findings).collect()
-        print(json.dumps([r.asDict() for r in rows]) if args.json else "\n".join(f"{r['kind']}: {r['path']} ({r['total']} in all)" for r in rows) or "clean")
+        findings, gone = engine.audit(args.deep).cache(), engine.missing()
+        for root in gone:
+            print(f"missing root: {root}", file=sys.stderr)
+        if args.json:  # row by row: the driver never holds all findings
+            n = 0
+            print("[", end="")
+            for n, r in enumerate(findings.toLocalIterator(), 1):
+                print((", " if n > 1 else "") + json.dumps(r.asDict()), end="")
+            print("]")
+            return 1 if n else 0
+        rows = first_findings(findings).collect()
+        print("\n".join(f"{r['kind']}: {r['path']} ({r['total']} in all)" for r in rows) or "clean")
         return 1 if rows else 0
     try:
-        hits = engine.search(args.question, args.top_k, args.project, args.policy)
+        answer = engine.answer(args.question, args.top_k, args.project, args.policy)
     except PrivateQuery as e:
         print(json.dumps({"refused": str(e)}) if args.json else f"refused: matched '{e}'")
         return 2
+    hits = answer["results"]
     if args.json:
-        print(json.dumps(hits))
+        print(json.dumps(answer))
     else:
+        for w in answer["warnings"]:
+            print(f"warning: {w}", file=sys.stderr)
         for h in hits:
             print(f"{h['rank']}. [{h['marker']}] {h['path']} ({h['score']:.4f})\n   {h['snippet']}")
     return 0 if hits else 1

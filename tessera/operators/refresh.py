@@ -69,16 +69,31 @@ def missing_vectors(chunks: DataFrame, cache: DataFrame, model: str) -> DataFram
     return chunks.select("text_hash", "text").dropDuplicates(["text_hash"]).join(have, "text_hash", "left_anti")
 
 
+def next_postings(old: DataFrame, fresh: DataFrame, changes: DataFrame) -> DataFrame:
+    """The postings after a refresh, as next_chunks."""
+    return next_chunks(old, fresh, changes)
+
+
 def store_vectors(cache: DataFrame, new: DataFrame, now: float) -> DataFrame:
     """The cache with new(text_hash, model, embedding); where an entry exists only its time changes."""
-    marked = cache.join(new.select("text_hash", "model", F.lit(True).alias("__used")), ["text_hash", "model"], "left")
-    kept = marked.withColumn("last_used", F.when(F.col("__used"), F.lit(now)).otherwise(F.col("last_used"))).drop("__used")
+    kept = use_vectors(cache, new, now)
     fresh = new.join(cache.select("text_hash", "model"), ["text_hash", "model"], "left_anti").withColumn("last_used", F.lit(now))
     return kept.unionByName(fresh.select(*kept.columns))
 
 
-def prune_vectors(cache: DataFrame, now: float, days: float = 14) -> DataFrame:
-    return cache.where(F.col("last_used") >= now - days * 86_400)
+def use_vectors(cache: DataFrame, used: DataFrame, now: float) -> DataFrame:
+    """The cache with a new time for the entries that used(text_hash, model) names."""
+    marked = cache.join(used.select("text_hash", "model", F.lit(True).alias("__used")).distinct(), ["text_hash", "model"], "left")
+    return marked.withColumn("last_used", F.when(F.col("__used"), F.lit(now)).otherwise(F.col("last_used"))).drop("__used")
+
+
+def prune_vectors(cache: DataFrame, now: float, days: float = 14, held: DataFrame | None = None) -> DataFrame:
+    """The cache without entries that nobody used for ``days``; those that held(text_hash) names stay."""
+    recent = F.col("last_used") >= now - days * 86_400
+    if held is None:
+        return cache.where(recent)
+    marked = cache.join(held.select("text_hash", F.lit(True).alias("__held")).distinct(), "text_hash", "left")
+    return marked.where(recent | F.col("__held")).select(*cache.columns)
 
 
 def manifest_digest(sources: DataFrame, groups: int = 256) -> DataFrame:

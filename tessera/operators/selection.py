@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,12 +10,21 @@ from ..functions.text import folded
 from .gates import path_parts
 
 
+def _up_to(rows: DataFrame, order: Column, most: int) -> DataFrame:
+    """Adds ``__in``: whether a row is among the first ``most`` of its root in ``order``, a struct that no two rows of a root share.
+
+    The last of the first rows is found by a bounded search and every row is compared with it; roots are as many as the configuration names.
+    """
+    first = rows.select("root_label", order.alias("order")).withColumn("no", F.row_number().over(Window.partitionBy("root_label").orderBy("order"))).where(F.col("no") <= most)
+    ends = first.groupBy("root_label").agg(F.max("order").alias("__end"))
+    return rows.join(F.broadcast(ends), "root_label", "left").withColumn("__in", F.coalesce(order <= F.col("__end"), F.lit(False))).drop("__end")
+
+
 def newest(sources: DataFrame, max_files: int) -> DataFrame:
     """Adds ``selected``: the newest ``max_files`` of each root (0: all), ties by path."""
     if not max_files:
         return sources.withColumn("selected", F.lit(True))
-    w = Window.partitionBy("root_label").orderBy(F.desc("mtime"), "path")
-    return sources.withColumn("__no", F.row_number().over(w)).withColumn("selected", F.col("__no") <= max_files).drop("__no")
+    return _up_to(sources, F.struct((-F.col("mtime")).alias("age"), "path"), max_files).withColumnRenamed("__in", "selected").select(*sources.columns, "selected")
 
 
 def balanced(sources: DataFrame, max_files: int, per_project: int = 200) -> DataFrame:
@@ -31,12 +40,12 @@ def balanced(sources: DataFrame, max_files: int, per_project: int = 200) -> Data
     in_project = Window.partitionBy("root_label", "project").orderBy(~locator, ~shallow, F.desc("mtime"), "path")
     ranked = sources.withColumn("__place", F.row_number().over(in_project))
     fits = F.col("__place") <= per_project
-    if max_files:
-        # only rows inside their project's quota take part in the rounds
-        rounds = Window.partitionBy("root_label", fits).orderBy("__place", "project")
-        ranked = ranked.withColumn("__round", F.row_number().over(rounds))
-        fits = fits & (F.col("__round") <= max_files)
-    return ranked.withColumn("selected", fits).drop("__place", "__round")
+    if not max_files:
+        return ranked.withColumn("selected", fits).select(*sources.columns, "selected")
+    # only rows inside their project's quota take part in the rounds
+    order = F.struct("__place", "project")
+    inside = _up_to(ranked.where(fits), order, max_files).withColumnRenamed("__in", "selected")
+    return inside.unionByName(ranked.where(~fits).withColumn("selected", F.lit(False))).select(*sources.columns, "selected")
 
 
 def over_budget(sources: DataFrame, max_files: int) -> DataFrame:

@@ -134,8 +134,11 @@ def missing_roots(roots: list[str]) -> list[str]:
     return [r for r in roots if not os.path.exists(r)]
 
 
-def disk_state(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """(path, content_hash, byte_count, mtime) of the given paths that exist, each read where its task runs."""
+def disk_state(spark: SparkSession, paths: DataFrame, hashed: bool = True) -> DataFrame:
+    """(path, content_hash, byte_count, mtime, uid) of the given paths that exist, each read where its task runs.
+
+    Without ``hashed`` files are only looked at, not read, and content_hash is null.
+    """
 
     def run(batches):
         import hashlib
@@ -146,14 +149,15 @@ def disk_state(spark: SparkSession, paths: DataFrame) -> DataFrame:
             rows = []
             for p in pdf["path"]:
                 try:
-                    s, h = os.stat(p), hashlib.sha256()
-                    with open(p, "rb") as f:
-                        while block := f.read(1 << 20):
-                            h.update(block)
-                    rows.append((p, h.hexdigest(), s.st_size, s.st_mtime))
+                    s, h = os.stat(p), None
+                    if hashed:
+                        h = hashlib.sha256()
+                        with open(p, "rb") as f:
+                            while block := f.read(1 << 20):
+                                h.update(block)
+                    rows.append((p, h and h.hexdigest(), s.st_size, s.st_mtime, s.st_uid))
                 except OSError:
                     continue
-            yield pd.DataFrame(rows, columns=["path", "content_hash", "byte_count", "mtime"])
-
-    return paths.select("path").mapInPandas(run, "path string, content_hash string, byte_count long, mtime double")
+            yield pd.DataFrame(rows, columns=["path", "content_hash", "byte_count", "mtime", "uid"])
 
+    return paths.select("path").mapInPandas(run, "path string, content_hash string, byte_count long, mtime double, uid long")

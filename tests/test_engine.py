@@ -1,12 +1,14 @@
 import json
 import os
+import shutil
 
 import pytest
 
 from tessera import cli
 from tessera import config as C
+from tessera.embedders import EmbeddingUnavailable, Hashing, Served, one_vector
 from tessera.engine import Engine, PrivateQuery
-from tessera.operators import refresh, trust
+from tessera.operators import index, ranking, refresh, trust
 from tessera.sources.files import list_files
 from tessera.streaming.ingest import ingest, read_postings
 
@@ -67,11 +69,117 @@ def test_a_life_of_an_index(spark, corpus, tmp_path, capsys):
     assert cli.main(["--config", where, "doctor"], spark) == 0
 
 
+class Counting(Hashing):
+    """Remembers how many texts it was asked for."""
+
+    asked = 0
+
+    def embed(self, texts):
+        Counting.asked = texts.count()
+        return super().embed(texts)
+
+
+class Narrow(Hashing):
+    dimensions = 32
+
+
+class Down(Hashing):
+    def embed(self, texts):
+        raise EmbeddingUnavailable("no answer")
+
+
+def test_vectors_are_reused_and_stored_postings_are_searched(spark, tmp_path, monkeypatch, capsys):
+    root, home = tmp_path / "notes", tmp_path / "index"
+    root.mkdir()
+    for i in range(4):
+        (root / f"{i}.md").write_text(f"kiln number {i}")
+    config = C.default_config(str(root), str(home))
+    engine = Engine(spark, config, Counting())
+    assert engine.refresh(now=0.0)["embedded"] == 4
+    (root / "4.md").write_text("kiln number 0")  # a text that is known already
+    (root / "5.md").write_text("glaze")
+    assert engine.refresh(now=86_400.0)["embedded"] == 1 == Counting.asked
+    os.remove(root / "3.md")
+    engine.refresh(now=2 * 86_400.0)
+    cache = {r.text_hash: r.last_used for r in engine.read("vectors").collect()}
+    assert len(cache) == 5  # the removed text waits for its return
+    engine.refresh(now=20 * 86_400.0)
+    assert engine.read("vectors").count() == 4
+    stored = {(r.path, r.term): (r.tf, r.dl) for r in engine.read("postings").collect()}
+    assert stored[str(root / "0.md"), "kiln"] == (1, 3) and engine.read("statistics").first()["n_chunks"] == 5
+    # a search tokenizes no stored text
+    monkeypatch.setattr(index, "postings", None)
+    monkeypatch.setattr(ranking, "postings", None)
+    answer = engine.answer("kiln", project="nowhere")
+    assert answer["results"] == [] and answer["warnings"] == ["no indexed project matches 'nowhere'"] and answer["policy"] == "hybrid-rrf"
+    assert len(engine.answer("kiln glaze", top_k=3)["results"]) == 3
+    down = Engine(spark, config, Down()).answer("glaze")
+    assert down["fusion"] == "keyword" and down["warnings"] == ["keywords only: no answer"] and down["results"][0]["path"].endswith("5.md")
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError, match="dimensions"):
+        Engine(spark, config, Narrow()).refresh()
+    # other rules for tokens: postings are made anew from stored chunks
+    monkeypatch.setattr("tessera.engine.TOKEN_VERSION", "2")
+    assert engine.refresh(now=21 * 86_400.0)["unchanged"] == 5 and engine.metadata()["tokens"] == "2"
+    where = tmp_path / "config.json"
+    where.write_text(json.dumps(config))
+    shutil.rmtree(home / engine.metadata()["version"] / "chunks")
+    assert cli.main(["--config", str(where), "search", "kiln"], spark) == 3
+    assert "index cannot be read" in capsys.readouterr().err
+
+
+def test_plain_chunks_shallow_audit_and_missing_roots(spark, tmp_path):
+    root = tmp_path / "notes"
+    root.mkdir()
+    (root / "a.md").write_text("# Title\n\ntext under it")
+    config = C.default_config(str(root), str(tmp_path / "index"))
+    config["corpus_roots"].append({"path": str(tmp_path / "away"), "label": "away"})
+    engine = Engine(spark, config | {"chunker": "plain"})
+    engine.refresh(now=0.0)
+    assert [r.text for r in engine.read("chunks").collect()] == ["# Title\n\ntext under it"]
+    Engine(spark, config).refresh(now=1.0)
+    assert [r.text for r in engine.read("chunks").collect()] == ["Title\ntext under it"]
+    os.utime(root / "a.md", (5.0, 5.0))
+    assert [r.kind for r in engine.audit(deep=False).collect()] == ["changed"] and engine.audit(deep=True).isEmpty()
+    assert engine.missing() == [str(tmp_path / "away")]
+
+
+def test_served_embeddings(spark):
+    import http.server
+    import threading
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"embeddings": [[3.0, 4.0, float(len(t) * 0)] for t in asked["input"]]} if asked["model"] == "m" else {"error": "no such model"}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/embed"
+    texts = spark.createDataFrame([(str(i), f"text {i}") for i in range(5)], "text_hash string, text string")
+    served = Served(url, "m", batch=2)
+    assert served.dimensions == 3 and {tuple(r.embedding) for r in served.embed(texts).collect()} == {(0.6, 0.8, 0.0)}
+    asked = spark.createDataFrame([(0, "q")], "query_id int, question string")
+    assert one_vector(served, asked).first()["vector"] == [0.6, 0.8, 0.0]
+    for bad in (Served(url, "other", 3), Served("http://127.0.0.1:9/none", "m", 3, timeout=2.0)):
+        with pytest.raises(EmbeddingUnavailable):
+            one_vector(bad, asked)
+    server.shutdown()
+
+
 def test_no_index(spark, tmp_path):
     where = tmp_path / "c.json"
     where.write_text(json.dumps(C.default_config(str(tmp_path), str(tmp_path / "none"))))
     assert cli.main(["--config", str(where), "verify", "--json"], spark) == 2
     assert cli.main(["--config", str(where), "search", "x"], spark) == 3
+    assert cli.main(["--config", str(where), "status", "--json"], spark) == 1
 
 
 def test_walker_depth_and_single_files(spark, corpus):
@@ -116,6 +224,9 @@ def test_vector_cache(spark):
     got = {(r.text_hash, r.model): (r.embedding, r.last_used) for r in refresh.store_vectors(cache, new, 5.0).collect()}
     assert got == {("a", "m"): ([1.0], 5.0), ("b", "n"): ([1.0], 0.0), ("c", "m"): ([2.0], 5.0)}
     assert refresh.prune_vectors(cache, 15 * 86_400.0).count() == 0
+    held = spark.createDataFrame([("b",)], "text_hash string")
+    assert [r.text_hash for r in refresh.prune_vectors(cache, 15 * 86_400.0, 14, held).collect()] == ["b"]
+    assert {r.text_hash: r.last_used for r in refresh.use_vectors(cache, spark.createDataFrame([("b", "n")], "text_hash string, model string"), 9.0).collect()} == {"a": 0.0, "b": 9.0}
     chunks = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "y")], "text_hash string, text string")
     assert [r.text_hash for r in refresh.missing_vectors(chunks, cache, "m").collect()] == ["b"]
 
