@@ -104,3 +104,23 @@ def manifest_problems(entries: DataFrame, files: DataFrame, tags: list[str]) ->
     for x in (unlisted, twice, bare, undated, tagged, lost, late):
         out = out.unionByName(x)
     return out
+
+
+def paired_counts(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
+    """One row: mean of a less b over shared queries, wins, losses, ties and their number."""
+    d = a.select("query_id", F.col(metric).alias("a")).join(b.select("query_id", F.col(metric).alias("b")), "query_id").select((F.col("a") - F.col("b")).alias("d"))
+    return d.agg(F.round(F.avg("d"), 4).alias("mean_delta"), F.count_if(F.col("d") > 0).alias("a_wins"), F.count_if(F.col("d") < 0).alias("b_wins"), F.count_if(F.col("d") == 0).alias("ties"), F.count(F.lit(1)).alias("n"))
+
+
+def cell_means(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(policy_id, n_queries, METRICS) of ranked(policy_id, query_id, rank, path), over all labelled queries."""
+    cells = ranked.select("policy_id").distinct()
+    # every cell answers for every label, so a query without hits counts as zero
+    labels = qrels.crossJoin(F.broadcast(cells)).select(F.struct("policy_id", "query_id").alias("query_id"), "path", "grade")
+    got = per_query(ranked.select(F.struct("policy_id", "query_id").alias("query_id"), "rank", "path"), labels)
+    return got.groupBy("query_id.policy_id").agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
+
+
+def best_cell(means: DataFrame) -> DataFrame:
+    """The one row with the best mrr_10, then recall_5, then the first policy_id."""
+    return means.orderBy(F.desc("mrr_10"), F.desc("recall_5"), "policy_id").limit(1)

@@ -27,16 +27,22 @@ def newest(sources: DataFrame, max_files: int) -> DataFrame:
     return _up_to(sources, F.struct((-F.col("mtime")).alias("age"), "path"), max_files).withColumnRenamed("__in", "selected").select(*sources.columns, "selected")
 
 
+def flags(below_root: Column) -> tuple[Column, Column]:
+    """Whether a file locates others (a readme, agents, state or hand-off file near the root), and whether it is a doc or spec near it."""
+    parts = path_parts(below_root)
+    name, depth = folded(F.element_at(parts, -1)), F.size(parts)
+    locator = (depth <= 2) & (name.isin("readme.md", "agents.md", "state.md") | F.contains(name, F.lit("handoff")) | F.contains(name, F.lit("next-push")))
+    shallow = (depth <= 3) & (depth > 1) & F.coalesce(F.get(parts, depth - 2).isin("docs", "specs"), F.lit(False))
+    return locator, shallow
+
+
 def balanced(sources: DataFrame, max_files: int, per_project: int = 200) -> DataFrame:
     """Adds ``selected``: each project's best ``per_project`` files, dealt in rounds over the projects by name up to ``max_files`` a root.
 
     Locators come first (readme, agents, state, hand-offs near the root), then shallow docs, then the newest.
     A round-robin is the order by (place in the project, project).
     """
-    parts = path_parts(F.col("below_root"))
-    name, depth = folded(F.element_at(parts, -1)), F.size(parts)
-    locator = (depth <= 2) & (name.isin("readme.md", "agents.md", "state.md") | F.contains(name, F.lit("handoff")) | F.contains(name, F.lit("next-push")))
-    shallow = (depth <= 3) & (depth > 1) & F.coalesce(F.get(parts, depth - 2).isin("docs", "specs"), F.lit(False))
+    locator, shallow = flags(F.col("below_root"))
     in_project = Window.partitionBy("root_label", "project").orderBy(~locator, ~shallow, F.desc("mtime"), "path")
     ranked = sources.withColumn("__place", F.row_number().over(in_project))
     fits = F.col("__place") <= per_project

@@ -459,3 +459,6 @@ FROM (SELECT query_id, sha256(query_id) AS h FROM (SELECT 'q-' || lpad(item_id::
 def split_assignment(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q-"), F.lpad(F.col("item_id").cast("string"), 3, "0")).alias("query_id"))
     return q.select("query_id", T.split_of(F.col("query_id")).alias("split"))
+
+
+from . import upkeep  # noqa: E402, F401  registers its queries here
