@@ -19,6 +19,7 @@ equal scores; one row per input row; further columns are ignored unless kept, an
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,31 +103,37 @@ def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> np.n
     return post
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sample: int = 12_000, more: int = 4_000, voters: int = 96, features: int = 4_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sample: int = 12_000, more: int = 2_000, voters: int = 96, features: int = 4_000) -> Model:
     """The classifier; at most ``sample`` labelled and ``more`` other documents outside the held-out fold are read, as hashes."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([feature_hashes(t).tobytes() for t in texts], pa.binary()), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))], ["label", "hashes", "patterns"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([feature_hashes(t).tobytes() for t in texts], pa.binary()), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))], ["doc_id", "label", "hashes", "patterns"])
 
     known = labelled(docs, labels, "toxic", mod, held_out, sample).select("doc_id", "text", "label")
     rest = unlabelled(docs, labels, "toxic", mod, held_out, more).select("doc_id", "text", F.lit(-1).alias("label"))
-    got = known.unionByName(rest).repartition("doc_id").mapInArrow(run, "label int, hashes binary, patterns array<boolean>").toArrow()
+    got = known.unionByName(rest).repartition("doc_id").mapInArrow(run, "doc_id long, label int, hashes binary, patterns array<boolean>").toArrow()
+    got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))  # sums and folds do not depend on how rows arrive
     label = np.array(got.column("label").to_pylist(), dtype=np.int64)
     anchor = np.where(label < 0, -1, label > 0)
     if not (anchor >= 0).any():
         return Model(-5.0, {})
-    rows = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for c in got.column("hashes").chunks for x in c]
-    marks = np.array(got.column("patterns").to_pylist(), dtype=bool).reshape(len(rows), -1)
+    sizes = [len(x.as_buffer()) // 4 for c in got.column("hashes").chunks for x in c]
+    col = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for c in got.column("hashes").chunks for x in c])
+    marks = np.array(got.column("patterns").to_pylist(), dtype=bool).reshape(len(sizes), -1)
     del got
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, col = np.unique(np.concatenate(rows), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    names = np.unique(col)
     told = anchor >= 0
     n1 = int((anchor == 1).sum())
     n0 = int(told.sum()) - n1
-    c1 = np.bincount(col, weights=(anchor == 1)[row], minlength=len(names))
-    c0 = np.bincount(col, weights=told[row], minlength=len(names)) - c1
+    c1, c0 = np.zeros(len(names)), np.zeros(len(names))
+    for at in range(0, len(col), 1_000_000):  # places of the names instead of the hashes, a part at a time
+        part = slice(at, at + 1_000_000)
+        col[part] = np.searchsorted(names, col[part])
+        c1 += np.bincount(col[part][anchor[row[part]] == 1], minlength=len(names))
+        c0 += np.bincount(col[part][anchor[row[part]] == 0], minlength=len(names))
     odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
     # lexicon voters: beginnings that mark the toxic class; classifier features: those that tell most either way
     worth = odds * np.sqrt(c1)
@@ -134,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sam
     lexicon = lexicon[(c1[lexicon] >= 3) & (odds[lexicon] > 2)]
     telling = np.abs(odds) * np.sqrt(c1 + c0) * (c1 + c0 >= 3)
     kept = np.argsort(-telling, kind="stable")[: min(features, int((telling > 0).sum()))]
-    votes = np.zeros((len(rows), len(lexicon)), dtype=bool)
-    place = np.full(len(names), -1)
+    votes = np.zeros((len(sizes), len(lexicon)), dtype=bool)
+    place = np.full(len(names), -1, dtype=np.int32)
     place[lexicon] = np.arange(len(lexicon))
     hit = place[col] >= 0
     votes[row[hit], place[col[hit]]] = True
@@ -143,12 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sam
     post = label_model(votes, anchor)
     # documents on which nobody votes teach the classifier nothing
     voted = np.flatnonzero(told | votes.any(axis=1))
-    number = np.full(len(rows), -1)
+    number = np.full(len(sizes), -1)
     number[voted] = np.arange(len(voted))
     place[:] = -1
     place[kept] = np.arange(len(kept))
     hit = (place[col] >= 0) & (number[row] >= 0)
-    row, col, target = number[row[hit]], place[col[hit]], post[voted]
+    row, col, target = number[row[hit]], place[col[hit]].astype(np.int64), post[voted]
     w, b = _logistic(row, col, len(voted), len(kept), target)
     b -= _cut(row, col, len(kept), target, anchor[voted])
     return Model(float(b), {int(names[k]): float(x) for k, x in zip(kept, w) if abs(x) > 1e-4})
@@ -223,20 +230,16 @@ def scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, mod: int = 5, held_out: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; ``keep`` adds further columns of documents as they are."""
-    keep = keep or []
-    texted = "text" in keep
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c != "text"])
+    """(doc_id, held_out, score, predicted) of every row; ``keep`` adds further columns of documents as they are.
 
-    def run(batches):
+    Texts go to Python and only scores come back.
+    """
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = scorer(model)
-        for batch in batches:
-            scores = [one(t.as_py() or "") for t in batch.column(1)]
-            columns = [c for i, c in enumerate(batch.columns) if i != 1 or texted]
-            names = [c for i, c in enumerate(batch.schema.names) if i != 1 or texted]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*names, "score"])
+        for texts in parts:
+            yield pa.array([one(t.as_py() or "") for t in texts], pa.float64())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text" or texted)
-    out = rows.mapInArrow(run, f"{schema}, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in keep or [] if c != "doc_id"], F.arrow_udf(run, "double")(F.col("text")).alias("score"))
     fold = fraction_of_crc("doc_id", mod)
-    return out.select("doc_id", *keep, F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", *(keep or []), F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
