@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, stage
+from .common import drop_stage, id_text, matched, stage
 from .graph import components, contract
 from .shingles import minhash, permutations, shingle_set
 
@@ -205,13 +205,16 @@ def near_duplicates(docs: DataFrame, f: Forest | None = None) -> DataFrame:
     sets = stage(_sets(texts, nodes, edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), f), "sets")
     parents = edges.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     done = stage(confirm(parents, sets, f), "confirmed")
+    drop_stage(sets)
     roots = stage(components(done.where("linked").select("a", "b")), "roots")
     roots = _settle(edges.join(done.select("a", "b"), ["a", "b"], "left_anti"), found.where("b is null").select("region", F.col("a").alias("node")).distinct(), texts, nodes, roots, f)
 
     whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
-    by_node = stage(whole.join(lowest, "root").select("node", "component_id"), "membership")
-    out = signed.join(by_node, "node", "left")
+    by_node = stage(whole.join(lowest, "root").select("node", "copies", "component_id"), "membership")
+    for used in (found, edges, done, roots, nodes):
+        drop_stage(used)
+    out = matched(signed.select("doc_id", "text_key", "n_shingles", "node"), by_node, ["node"], "copies")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -235,19 +238,30 @@ def _settle(edges: DataFrame, opened: DataFrame, texts: DataFrame, nodes: DataFr
     """Roots after all links between components were found among candidates (a, b) and members (region, node) of open regions."""
     apart = _with_roots(edges, roots).select("a", "b")
     members = opened.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo != hi")
-    ties = members.join(mixed, "region").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    clusters = stage(components(apart.unionByName(ties), "clusters"), "clusters").withColumnRenamed("root", "cluster")
+    members = stage(members.select("region", "node", "root"), "members")
+    mixed = members.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+    # rows of large regions meet their region's first node by broadcast
+    first = stage(mixed.select("region", "first", "n"), "mixed")
+    ties = matched(members.select("region", "node"), first, ["region"], "n").where("first is not null").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    clustered = stage(components(apart.unionByName(ties), "clusters"), "clusters")
+    clusters = clustered.withColumnRenamed("root", "cluster")
     sets = _sets(texts, nodes, clusters.select("node"), f)
     held = clusters.join(sets, "node").join(nodes.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = stage(_blocks(held, f), "blocks")
     inside = blocks.where("a is not null").select("a", "b")
     left = blocks.where("a is null").select("cluster", "block", "root", "least", "most", "nodes", "sets")
-    right = left.select("cluster", *(F.col(c).alias(f"{c}2") for c in ("block", "root", "least", "most", "nodes", "sets")))
+    # a cluster's blocks are dealt into slices of about sixteen; every slice meets all blocks of its cluster
+    slices = left.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / 16).cast("int").alias("slices"))
+    left = left.join(slices, "cluster")
+    right = left.select("cluster", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *(F.col(c).alias(f"{c}2") for c in ("block", "root", "least", "most", "nodes", "sets")))
+    left = left.withColumn("slice", F.pmod(F.xxhash64("block"), F.col("slices")).cast("int")).drop("slices")
     fits = F.expr(f"{f.den} * most2 >= {f.num} * least and {f.den} * most >= {f.num} * least2")
-    pairs = left.join(right, "cluster").where("block <= block2").where("root is null or root2 is null or root != root2").where(fits)
+    pairs = left.join(right, ["cluster", "slice"]).where("block <= block2").where("root is null or root2 is null or root != root2").where(fits)
     linked = stage(inside.unionByName(_compare(pairs, f)), "linked")
-    return _merge(roots, _with_roots(linked, roots))
+    merged = _merge(roots, _with_roots(linked, roots))
+    for used in (members, first, clustered, blocks, linked, roots):
+        drop_stage(used)
+    return merged
 
 
 def forest(left: list[np.ndarray], right: list[np.ndarray] | None, f: Forest) -> list[tuple[int, int]]:
