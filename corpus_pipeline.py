@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, contamination, minhash, secret_scan, toxicity
-from tessera.llm.common import stage, table
+from tessera.llm.common import drop_stage, small_batches, stage, table
 
 
 def _hidden(docs: DataFrame, visible: list[str]) -> tuple[DataFrame, list[str], list]:
@@ -28,6 +28,7 @@ def _hidden(docs: DataFrame, visible: list[str]) -> tuple[DataFrame, list[str],
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     hidden, others, back = _hidden(docs, ["doc_id", "text"])
     return toxicity.score(hidden, model, keep=["text", *others]).where("predicted = 0").select(*back)
@@ -45,8 +46,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"), by_text=True).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +63,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
 
@@ -80,5 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_stage(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ _OWN_ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder of this machine is used.
+    Only where that is unset and everything runs in one process (local tests) a temporary folder of this machine is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOTS:
         _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -30,7 +33,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 #: Bytes of one Arrow batch while a staged table is made: rows with whole texts or sets are large.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -52,6 +55,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For plans that somebody else runs: Arrow batches of the session are bounded too, unless it has a bound of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a table written by :func:`stage` that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)
@@ -65,6 +74,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; results that were not written yet can no longer be read."""
+    delete_path(spark, f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ Sketches and items are broadcast only if they have at most ``most_broadcast`` sh
 the shingles are joined by a shuffle and candidates meet their texts again by a second one.
 
 Defined results: null texts count as empty; one row for each pair of a distinct doc_id and a distinct item_id,
-with the highest containment where ids repeat; null ids stay; empty tables give no rows; further
+with the highest containment where ids repeat; null ids stay; very long texts are searched whole; empty tables give no rows; further
 columns are ignored.
 """
 
@@ -46,24 +46,29 @@ def item_sketches(items: DataFrame, size: int, percent: int) -> DataFrame:
     return sets.withColumn("sketch", F.slice(F.array_sort("shingles"), 1, F.least(k, F.col("n"))))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared) of documents that hold ``percent`` or more of an item's shingles."""
+def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, most_broadcast: int = 1_000_000, by_text: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared) of documents that hold ``percent`` or more of an item's shingles.
+
+    With ``by_text`` texts of one id are told apart: text_key, xxhash64 of the text (null: empty), follows doc_id.
+    """
     sketches = item_sketches(items.select("item_id", "text"), size, percent)
     entries = sketches.select("item_id", F.explode("sketch").alias("hash"))
     small = sketches.select(F.explode("shingles").alias("s")).limit(most_broadcast + 1).count() <= most_broadcast
     whole = sketches.select(F.col("item_id").alias("of"), "n", "shingles")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = ["doc_id", "text_key"] if by_text else ["doc_id"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).select(*key, "text")
     if small:
-        sets = texts.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), size)).alias("set"))
-        pairs = sets.select("doc_id", "set", F.explode("set").alias("hash")).join(F.broadcast(entries), "hash").select("doc_id", "set", "item_id")
+        sets = texts.select(*key, F.array_distinct(shingle_hashes(F.col("text"), size)).alias("set"))
+        pairs = sets.select(*key, "set", F.explode("set").alias("hash")).join(F.broadcast(entries), "hash").select(*key, "set", "item_id")
         pairs = pairs.join(F.broadcast(whole), F.col("item_id").eqNullSafe(F.col("of")))
     else:
-        single = texts.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("text"), size))).alias("hash"))
-        found = single.join(entries, "hash").select("doc_id", "item_id").distinct().withColumnRenamed("doc_id", "in")
-        back = texts.join(found, F.col("doc_id").eqNullSafe(F.col("in")))
+        single = texts.select(*key, F.explode(F.array_distinct(shingle_hashes(F.col("text"), size))).alias("hash"))
+        found = single.join(entries, "hash").select(*(F.col(c).alias(f"in_{c}") for c in key), "item_id").distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("in_doc_id"))
+        back = texts.join(found, same & (F.col("text_key") == F.col("in_text_key")) if by_text else same)
         pairs = back.join(whole, F.col("item_id").eqNullSafe(F.col("of"))).withColumn("set", F.array_distinct(shingle_hashes(F.col("text"), size)))
     shared = F.size(F.array_intersect("set", "shingles")).cast("long")
-    checked = pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), shared.alias("n_shared"))
+    checked = pairs.select(*key, "item_id", F.col("n").cast("long").alias("n_item"), shared.alias("n_shared"))
     checked = checked.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    best = checked.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "n_shared"), F.struct(F.col("n_shared") / F.col("n_item"), "n_shared")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_item", "best.n_shared")
+    best = checked.groupBy(*key, "item_id").agg(F.max_by(F.struct("n_item", "n_shared"), F.struct(F.col("n_shared") / F.col("n_item"), "n_shared")).alias("best"))
+    return best.select(*key, "item_id", "best.n_item", "best.n_shared")

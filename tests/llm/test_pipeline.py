@@ -77,6 +77,14 @@ def test_stages_against_brute_force(spark, small, odd_docs):
         assert ids[r.doc_id].ids_sha256 == hashlib.sha256(np.array(enc.encode_ordinary(r.text or ""), dtype="<u4").tobytes()).hexdigest()
 
 
+def test_a_contaminated_row_takes_no_other_row_of_its_id_along(spark, small):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    rows = [(None, f"before {item} after", "en", "s", 1), (None, "a clean text of its own", "en", "s", 1), (7, item, "en", "s", 1), (7, "another clean text", "en", "s", 1), (8, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.remove_contaminated(spark, docs, small).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(None, "a clean text of its own"), (7, "another clean text"), (8, None)]))
+
+
 def test_run_and_empty_tables(spark, small, no_docs):
     assert pipeline.run(spark, small).count() > 0
     docs = no_docs
