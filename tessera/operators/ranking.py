@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import folded, keyword_terms, tokens, words
-from .index import DIMENSIONS, KEYS, document_frequency, dot, idf, path_terms, postings, statistics
+from .index import KEYS, document_frequency, dot, idf, path_terms, postings, statistics
 
 # Fixed values.
 K1, B, COVERAGE_BONUS = 1.5, 0.75, 0.18
@@ -94,10 +94,10 @@ def path_overlap(queries: DataFrame, sources: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "path", "n").agg(F.count(F.lit(1)).alias("shared")).select("query_id", "path", (F.col("shared") / F.col("n")).alias("overlap"))
 
 
-def similarity(queries: DataFrame, vectors: DataFrame, dimensions: int | None = DIMENSIONS) -> DataFrame:
+def similarity(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, keys of vectors, similarity): every question against every row; both sides have ``vector``."""
     q = queries.select("query_id", F.col("vector").alias("__q"))
-    return vectors.crossJoin(q).withColumn("similarity", F.round(dot(F.col("vector"), F.col("__q"), dimensions), 9)).drop("vector", "__q")
+    return vectors.crossJoin(q).withColumn("similarity", F.round(dot(F.col("vector"), F.col("__q")), 9)).drop("vector", "__q")
 
 
 def top(rows: DataFrame, by: list, k: int, group: str = "query_id") -> DataFrame:
@@ -130,40 +130,39 @@ def _policies(spark, policies: list[Policy]) -> DataFrame:
     return spark.createDataFrame(rows, "policy_id string, fusion string, w double, rrf_k int, recency_weight double, metadata_weight double, budget int, top_k int")
 
 
-def fuse(rows: DataFrame, policies: Policy | list[Policy]) -> DataFrame:
+def fuse(rows: DataFrame, policies: Policy | list[Policy], matches: DataFrame | None = None) -> DataFrame:
     """rows(query_id, path, ordinal, lexical, similarity, ...) once for each policy, with the policy's columns and ``relevance``.
 
-    The rows hold every chunk of every query, or for keyword policies those with a match.
+    The rows hold every chunk of every query, or for keyword policies those with a match; matches(query_id, path, ordinal, lexical) are those
+    with a keyword score, if they are known.  Reciprocal-rank sums are as they are, not yet shares of the best one.
     """
     policies = [policies] if isinstance(policies, Policy) else policies
     used = {p.fusion for p in policies}
     unknown = used - {"keyword", "raw", "minmax", "rrf"}
     if unknown:
         raise ValueError(f"unknown fusion '{sorted(unknown)[0]}'")
-    ends = [F.max("lexical").alias("__most")]
-    if used & {"minmax", "rrf"}:
-        ends += [F.min("similarity").alias("__lo"), F.max("similarity").alias("__hi"), F.count_if(F.col("lexical") > 0).alias("__matched")]
-    rows = rows.join(rows.groupBy("query_id").agg(*ends), "query_id")
-    keyword = F.col("lexical") / F.when(F.col("__most") > 0, F.col("__most")).otherwise(1.0)
+    # maxima of the keyword scores come from the chunks that have one
+    found = rows.where("lexical > 0") if matches is None else matches
+    ends = found.groupBy("query_id").agg(F.max("lexical").alias("__most"), F.count(F.lit(1)).alias("__matched"))
+    rows = rows.join(ends, "query_id", "left")
+    keyword = F.col("lexical") / F.coalesce("__most", F.lit(1.0))
     w = F.col("w")
     relevance = F.when(F.col("fusion") == "keyword", keyword)
     if "raw" in used:
         relevance = relevance.when(F.col("fusion") == "raw", w * (F.col("similarity") + 1) / 2 + (1 - w) * keyword)
     if "minmax" in used:
+        rows = rows.join(rows.groupBy("query_id").agg(F.min("similarity").alias("__lo"), F.max("similarity").alias("__hi")), "query_id")
         scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col("similarity") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
         relevance = relevance.when(F.col("fusion") == "minmax", w * scaled + (1 - w) * keyword)
     if "rrf" in used:
-        rows = placed(rows, "similarity", F.col("__hi"), F.col("__lo"), "__dense")
+        rows = placed(rows, "similarity", F.lit(1.0), F.lit(-1.0), "__dense")
         # all chunks without a query term share the rank after the last match
-        found = placed(rows.where("lexical > 0").select("query_id", *KEYS, "lexical", "__most"), "lexical", F.col("__most"), F.lit(0.0), "__word").select("query_id", *KEYS, "__word")
-        rows = rows.join(found, ["query_id", *KEYS], "left").withColumn("__word", F.coalesce("__word", F.col("__matched") + 1))
+        scored = found.select("query_id", *KEYS, "lexical").join(ends, "query_id")
+        words_ = placed(scored, "lexical", F.col("__most"), F.lit(0.0), "__word").select("query_id", *KEYS, "__word")
+        rows = rows.join(words_, ["query_id", *KEYS], "left").withColumn("__word", F.coalesce("__word", F.coalesce("__matched", F.lit(0)) + 1))
         relevance = relevance.when(F.col("fusion") == "rrf", w / (F.col("rrf_k") + F.col("__dense")) + (1 - w) / (F.col("rrf_k") + F.col("__word")))
     rows = rows.crossJoin(F.broadcast(_policies(rows.sparkSession, policies))).withColumn("relevance", relevance)
-    if "rrf" in used:
-        best = rows.where("fusion = 'rrf'").groupBy("query_id", "policy_id").agg(F.max("relevance").alias("__best"))
-        rows = rows.join(best, ["query_id", "policy_id"], "left")
-        rows = rows.withColumn("relevance", F.when(F.col("fusion") == "rrf", F.col("relevance") / F.when(F.col("__best") > 0, F.col("__best")).otherwise(1.0)).otherwise(F.col("relevance"))).drop("__best")
-    return rows.drop("__most", "__lo", "__hi", "__matched", "__dense", "__word")
+    return rows.drop("__most", "__matched", "__lo", "__hi", "__dense", "__word")
 
 
 def rank(queries: DataFrame, chunks: DataFrame, policy: Policy | list[Policy], project: str | None = None, vectors: DataFrame | None = None, posting: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
@@ -184,17 +183,25 @@ def rank(queries: DataFrame, chunks: DataFrame, policy: Policy | list[Policy], p
     else:
         rows = similarity(queries, vectors)
     rows = rows.join(lexical, ["query_id", *KEYS], "left").na.fill(0.0, ["lexical", "coverage"])
-    rows = fuse(rows, policies).join(overlap, ["query_id", "path"], "left").na.fill(0.0, ["overlap"])
-    if not sparse:  # a keyword policy has no use for chunks without any match
-        rows = rows.where("fusion != 'keyword' or lexical > 0 or overlap > 0")
-    rows = rows.join(files, "path").crossJoin(F.broadcast(span))
-    score = F.col("relevance") + F.col("recency_weight") * (F.col("mtime") - F.col("__from")) / F.col("__range") + F.col("metadata_weight") * F.col("overlap")
-    rows = rows.withColumn("score", F.round(score, 9))
+    rows = fuse(rows, policies, lexical)
+    # what follows is the same for all chunks of a file but for relevance and coverage
+    of_file, settings = ["query_id", "policy_id", "path"], ["fusion", "recency_weight", "metadata_weight", "budget", "top_k"]
+    by_file = rows.groupBy(*of_file, *settings).agg(F.collect_list(F.struct("relevance", "lexical", "ordinal", "coverage")).alias("cells"))
+    if any(p.fusion == "rrf" for p in policies):
+        best = by_file.groupBy("query_id", "policy_id").agg(F.max(F.array_max(F.transform("cells", lambda c: c["relevance"]))).alias("__best"))
+        by_file = by_file.join(best, ["query_id", "policy_id"])
+    else:
+        by_file = by_file.withColumn("__best", F.lit(1.0))
+    by_file = by_file.join(overlap, ["query_id", "path"], "left").na.fill(0.0, ["overlap"]).join(files, "path").crossJoin(F.broadcast(span))
     if project:
-        rows = rows.where(F.contains(folded(F.col("project")), F.lit(project.lower())))
+        by_file = by_file.where(F.contains(folded(F.col("project")), F.lit(project.lower())))
+    scale = F.when((F.col("fusion") == "rrf") & (F.col("__best") > 0), F.col("__best")).otherwise(1.0)
+    recency = F.col("recency_weight") * (F.col("mtime") - F.col("__from")) / F.col("__range")
+    # a keyword policy has no use for chunks without any match
+    kept = F.filter("cells", lambda c: (F.col("fusion") != "keyword") | (c["lexical"] > 0) | (F.col("overlap") > 0))
+    scored = F.transform(kept, lambda c: F.struct(F.round(c["relevance"] / scale + recency + F.col("metadata_weight") * F.col("overlap"), 9).alias("score"), c["ordinal"].alias("ordinal"), c["coverage"].alias("coverage")))
+    by_file = by_file.select(*of_file, "budget", "top_k", scored.alias("cells")).where(F.size("cells") > 0).withColumn("best", F.array_max(F.transform("cells", lambda c: c["score"])))
     # chunks of the head belong to the files whose best chunk is among the first; of all others only top_k can be shown
-    of_file = ["query_id", "policy_id", "path"]
-    by_file = rows.groupBy(*of_file).agg(F.max("score").alias("best"), F.first("budget").alias("budget"), F.first("top_k").alias("top_k"), F.collect_list(F.struct("score", "ordinal", "coverage")).alias("cells"))
     most = max(p.rerank_budget + p.top_k for p in policies)
     by_best = Window.partitionBy("query_id", "policy_id").orderBy(F.desc("best"), "path")
     open_ = by_file.withColumn("__no", F.row_number().over(by_best)).where(F.col("__no") <= most)

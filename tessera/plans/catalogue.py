@@ -102,7 +102,7 @@ def _corpus(spark: SparkSession, sf_dir: str, dense: bool = True):
     q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
     if not dense:
         return q, c, None
-    vectors = index.hashed_vectors(c, index.KEYS)
+    vectors = index.hashed_vectors(c, index.KEYS).persist()  # stands for the stored vectors of an index
     return q.join(index.hashed_vectors(q, ["query_id"], "question"), "query_id"), c, vectors
 
 
