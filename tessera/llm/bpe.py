@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text
+from .common import id_text, lean
 
 #: Characters that a match may look at beyond its own end (the longest contraction has three).
 LOOKAHEAD = 4
-#: Distinct pre-tokens whose ids a worker remembers.
+#: Distinct pre-tokens whose ids a task remembers.
 CACHE_PIECES = 200_000
 
 
@@ -57,8 +57,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
+def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
 def _pieces(path: str, pattern: str) -> _Pieces:
-    return _Pieces(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}))
+    """Of one task: a worker that has nothing to do holds none."""
+    return _Pieces(_encoding(path, pattern))
 
 
 @lru_cache(maxsize=4)
@@ -88,27 +93,39 @@ def windows(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, str, boo
         k, at = k + 1, at + step
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, chunk_chars: int = 32768, overlap: int = 1024) -> DataFrame:
-    """(doc_id, ids) of documents(doc_id, text); ids are little-endian unsigned 32-bit integers in one binary."""
+def encode(docs: DataFrame, rank_path: str, pattern: str, chunk_chars: int = 32768, overlap: int = 1024, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of documents(doc_id, text); ids are little-endian unsigned 32-bit integers in one binary.
+
+    ``decoded`` adds the column of :func:`decode`, from the ids and in the same worker.
+    """
     if not LOOKAHEAD < overlap <= chunk_chars // 2:
         raise ValueError("overlap must be above the lookahead and at most half a chunk")
     docs = id_text(docs)
     short = docs.where(F.length("text") <= chunk_chars)
     long = docs.where(F.length("text") > chunk_chars)
-    return _encode_short(short, rank_path, pattern).unionByName(_encode_long(long, rank_path, pattern, chunk_chars, overlap))
+    return _encode_short(short, rank_path, pattern, decoded).unionByName(_encode_long(long, rank_path, pattern, chunk_chars, overlap, decoded))
+
+
+def _decoder(rank_path: str):
+    """ids -> the concatenated bytes of their tokens."""
+    token = _vocabulary(rank_path).__getitem__
+    return lambda ids: b"".join(map(token, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _encode_short(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def _encode_short(docs: DataFrame, rank_path: str, pattern: str, decoded: bool) -> DataFrame:
     def run(batches):
         find, pieces = regex.compile(pattern).findall, _pieces(rank_path, pattern)
         for batch in batches:
             ids = [b"".join(map(pieces.__getitem__, find(t.as_py()))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            out = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                out["decoded"] = pa.array(map(_decoder(rank_path), ids), pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.mapInArrow(run, "doc_id long, ids binary")
+    return docs.mapInArrow(lean(run), "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
-def _encode_long(docs: DataFrame, rank_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+def _encode_long(docs: DataFrame, rank_path: str, pattern: str, chunk: int, overlap: int, decoded: bool) -> DataFrame:
     step = chunk - overlap
     # rows equal in id and text become one with a count, so (doc_id, key) names a text
     texts = docs.groupBy("doc_id", F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
@@ -144,11 +161,14 @@ def _encode_long(docs: DataFrame, rank_path: str, pattern: str, chunk: int, over
                         break
                     found.append(pieces[m.group()])
                 ids.append(b"".join(found))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("copies"), batch.column("grp"), pa.array(ids, pa.binary())], ["doc_id", "key", "copies", "grp", "ids"])
+            out = {c: batch.column(c) for c in ("doc_id", "key", "copies", "grp")} | {"ids": pa.array(ids, pa.binary())}
+            if decoded:
+                out["decoded"] = pa.array(map(_decoder(rank_path), ids), pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
-    rows = texts.mapInArrow(cut, "doc_id long, key string, copies long, k int, window string, last boolean")
+    rows = texts.mapInArrow(lean(cut), "doc_id long, key string, copies long, k int, window string, last boolean")
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    scanned = rows.repartition(int(n), "key", "k").mapInArrow(scan, "doc_id long, key string, copies long, k int, window string, last boolean, heads array<int>, tails array<int>")
+    scanned = rows.repartition(int(n), "key", "k").mapInArrow(lean(scan), "doc_id long, key string, copies long, k int, window string, last boolean, heads array<int>, tails array<int>")
     w = Window.partitionBy("doc_id", "key").orderBy("k")
     joined = scanned.withColumn("begin", F.array_min(F.array_intersect("heads", F.coalesce(F.lag("tails").over(w), F.array().cast("array<int>")))))
     joined = joined.withColumn("end", F.lead("begin").over(w)).withColumn("grp", F.count("begin").over(w))
@@ -157,9 +177,10 @@ def _encode_long(docs: DataFrame, rank_path: str, pattern: str, chunk: int, over
         F.coalesce(F.max("begin"), F.lit(0)).alias("begin"),  # only the first of a group has one
         F.max_by("end", "k").alias("end"),
     )
-    pieces = groups.mapInArrow(encode_groups, "doc_id long, key string, copies long, grp long, ids binary")
-    whole = pieces.groupBy("doc_id", "key", "copies").agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY grp)").alias("ids"))
-    return whole.select("doc_id", "ids", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).drop("one")
+    pieces = groups.mapInArrow(lean(encode_groups), "doc_id long, key string, copies long, grp long, ids binary" + ", decoded binary" * decoded)
+    made = ["ids", *["decoded"] * decoded]
+    whole = pieces.groupBy("doc_id", "key", "copies").agg(*(F.expr(f"listagg({c}) WITHIN GROUP (ORDER BY grp)").alias(c) for c in made))
+    return whole.select("doc_id", *made, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).drop("one")
 
 
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
@@ -167,13 +188,13 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     at = encoded.columns.index("ids")
 
     def run(batches):
-        token = _vocabulary(rank_path).__getitem__
+        one = _decoder(rank_path)
         for batch in batches:
-            out = [b"".join(map(token, np.frombuffer(x.as_buffer(), dtype="<u4").tolist())) if x.is_valid else b"" for x in batch.column(at)]
+            out = [one(x.as_buffer()) if x.is_valid else b"" for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.mapInArrow(lean(run), f"{schema}, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

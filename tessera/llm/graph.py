@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage
+from .common import drop_stage, lean, stage
 
 #: Edges that one task contracts at most; a graph of more is contracted by as many tasks as it needs.
 EDGES_PER_TASK = 250_000
@@ -40,7 +40,7 @@ def _contract(edges: DataFrame, n: int) -> DataFrame:
             u, v = zip(*out[at : at + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], ["u", "v"])
 
-    return edges.repartition(max(1, -(-n // EDGES_PER_TASK))).mapInArrow(run, f"u {fields.simpleString()}, v {fields.simpleString()}")
+    return edges.repartition(max(1, -(-n // EDGES_PER_TASK))).mapInArrow(lean(run), f"u {fields.simpleString()}, v {fields.simpleString()}")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

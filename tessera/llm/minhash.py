@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, id_text, matched, stage
+from .common import drop_stage, id_text, lean, matched, stage
 from .graph import components, contract
 from .shingles import minhash, permutations, shingle_set
 
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame, f: Forest) -> DataFrame:
                     labels.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node binary, signature binary")
+    return docs.mapInArrow(lean(run), "doc_id long, text_key long, n_shingles long, node binary, signature binary")
 
 
 def ordered(nodes: DataFrame, f: Forest) -> DataFrame:
@@ -82,7 +82,7 @@ def ordered(nodes: DataFrame, f: Forest) -> DataFrame:
                 regions = [int.from_bytes(hashlib.blake2b(r[:cut].tobytes() + bytes([t]), digest_size=8).digest(), "little", signed=True) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array([r[cut:].tobytes() for r in rows], pa.binary()), batch.column("node"), batch.column("n")], ["region", "label", "node", "n"])
 
-    return nodes.select("node", "n", "signature").mapInArrow(run, "region long, label binary, node binary, n long")
+    return nodes.select("node", "n", "signature").mapInArrow(lean(run), "region long, label binary, node binary, n long")
 
 
 def _close(n_a: int, n_b: int, f: Forest) -> bool:
@@ -155,7 +155,7 @@ def neighbours(rows: DataFrame, f: Forest) -> DataFrame:
             yield table(found, opened)
 
     spread = rows.repartitionByRange(F.col("region"), F.col("label"), F.col("node")).sortWithinPartitions("region", "label", "node")
-    return spread.mapInArrow(run, "a binary, b binary, region long")
+    return spread.mapInArrow(lean(run), "a binary, b binary, region long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
@@ -172,7 +172,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, f: Forest) -> DataFrame:
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     full = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(run, "a binary, b binary, linked boolean")
+    return full.mapInArrow(lean(run), "a binary, b binary, linked boolean")
 
 
 def _with_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, f: Forest) -> D
             sets = [shingle_set(t.as_py(), f.words).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    made = rows.mapInArrow(run, "node binary, shingles binary")
+    made = rows.mapInArrow(lean(run), "node binary, shingles binary")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -354,7 +354,7 @@ def _blocks(held: DataFrame, f: Forest, block: int = 256, block_bytes: int = 4_0
             yield table(out)
 
     spread = held.select("cluster", "root", "n", "node", "shingles").repartitionByRange("cluster", "root", "n", "node").sortWithinPartitions("cluster", "root", "n", "node")
-    return spread.mapInArrow(run, _BLOCK_SCHEMA)
+    return spread.mapInArrow(lean(run), _BLOCK_SCHEMA)
 
 
 def _compare(pairs: DataFrame, f: Forest) -> DataFrame:
@@ -371,4 +371,4 @@ def _compare(pairs: DataFrame, f: Forest) -> DataFrame:
                 found = forest(left, right, f)
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in found], pa.binary()), pa.array([nodes[y] for _, y in found], pa.binary())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(lean(run), "a binary, b binary")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_of_crc
+from .common import fraction_of_crc, lean
 from .sampling import labelled, unlabelled
 
 #: Lengths of the word beginnings that are features.
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sam
 
     known = labelled(docs, labels, "toxic", mod, held_out, sample).select("doc_id", "text", "label")
     rest = unlabelled(docs, labels, "toxic", mod, held_out, more).select("doc_id", "text", F.lit(-1).alias("label"))
-    got = known.unionByName(rest).repartition("doc_id").mapInArrow(run, "doc_id long, label int, hashes binary, patterns array<boolean>").toArrow()
+    got = known.unionByName(rest).repartition("doc_id").mapInArrow(lean(run), "doc_id long, label int, hashes binary, patterns array<boolean>").toArrow()
     got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))  # sums and folds do not depend on how rows arrive
     label = np.array(got.column("label").to_pylist(), dtype=np.int64)
     anchor = np.where(label < 0, -1, label > 0)
@@ -240,6 +240,6 @@ def score(docs: DataFrame, model: Model, mod: int = 5, held_out: int = 0, keep:
         for texts in parts:
             yield pa.array([one(t.as_py() or "") for t in texts], pa.float64())
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in keep or [] if c != "doc_id"], F.arrow_udf(run, "double")(F.col("text")).alias("score"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in keep or [] if c != "doc_id"], F.arrow_udf(lean(run), "double")(F.col("text")).alias("score"))
     fold = fraction_of_crc("doc_id", mod)
     return scored.select("doc_id", *(keep or []), F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -34,3 +34,29 @@ def test_whitespace_and_contractions_at_window_ends(spark):
 
 def test_empty_table(spark, no_docs):
     assert bpe.digests(bpe.decode(bpe.encode(no_docs, RANKS, P.PATTERN), RANKS)).count() == 0
+
+
+def test_decoded_by_the_worker_that_encoded(spark, small, odd_docs):
+    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(odd_docs, allowMissingColumns=True)
+    for chunk, overlap in ((32768, 1024), (300, 40)):
+        one = bpe.encode(docs, RANKS, P.PATTERN, chunk, overlap, decoded=True)
+        two = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN, chunk, overlap), RANKS)
+        assert sorted(map(str, bpe.digests(one).collect())) == sorted(map(str, bpe.digests(two).collect()))
+        passes = [x._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for x in (one, two)]
+        assert passes[0] == passes[1] - 1
+
+
+def test_idle_workers_hold_no_pieces(spark, small):
+    import gc
+
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").repartition(8)
+    bpe.encode(docs, RANKS, P.PATTERN).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(len(x) for x in gc.get_objects() if type(x).__name__ == "_Pieces")]})
+
+    assert {r.n for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()} == {0}
