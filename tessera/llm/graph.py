@@ -12,8 +12,8 @@ from .common import drop_stage, lean, stage
 EDGES_PER_TASK = 250_000
 
 
-def _contract(edges: DataFrame, n: int) -> DataFrame:
-    """(u, v): each task replaces its edges by stars, every node linked with the smallest one it reaches inside the task."""
+def _contract(edges: DataFrame, n: int, own: bool = False) -> DataFrame:
+    """(u, v): each task replaces its edges by stars, every node linked with the smallest one it reaches inside the task; own: that node with itself too."""
     fields = edges.schema["u"].dataType
 
     def run(batches):
@@ -35,7 +35,7 @@ def _contract(edges: DataFrame, n: int) -> DataFrame:
                 if a != b:
                     parent[max(a, b)] = min(a, b)
         out = [(x, root(x)) for x in parent]
-        out = [(x, r) for x, r in out if x != r]
+        out = [(x, r) for x, r in out if own or x != r]
         for at in range(0, len(out), 50_000):
             u, v = zip(*out[at : at + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], ["u", "v"])
@@ -46,19 +46,18 @@ def _contract(edges: DataFrame, n: int) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) of the graph of ``edges`` (a, b): the smallest node reachable, for every node that has an edge.
 
-    Tasks contract bounded shares of the edges to stars.  Unless one share was enough, large-star and
+    Tasks contract bounded shares of the edges, repeated ones too, to stars.  Unless one share was enough, large-star and
     small-star steps follow between rounds: both take a minimum that is computed before the shuffle and link
     neighbours to it, so a hub costs as many rows as it has edges.
     """
-    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), label)
+    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), label)
     while True:
         n = e.count()
-        local = _contract(e, n)
         if n <= EDGES_PER_TASK:
-            new = stage(local, label)
+            new = stage(_contract(e, n, own=True), label)
             drop_stage(e)
-            break
-        local = stage(local, label)
+            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        local = stage(_contract(e, n), label)
         both = local.unionAll(local.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
         # large-star: larger neighbours (and the node itself) go to the smallest neighbour

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, id_text, lean, matched, stage
+from .common import drop_shuffles, drop_stage, id_text, lean, matched, stage
 from .graph import components, contract
 from .shingles import minhash, permutations, shingle_set
 
@@ -192,7 +192,8 @@ def _merge(roots: DataFrame, linked: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, f: Forest | None = None) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) for every row of documents(doc_id, text).
 
-    text_key is xxhash64 of the text (null: empty), which with doc_id names a row's text.
+    text_key is xxhash64 of the text (null: empty), which with doc_id names a row's text.  What the result reads can be dropped when it
+    is no longer needed: ``_tessera_reads``.
     """
     f = f or Forest()
     texts = id_text(docs).withColumn("text_key", F.xxhash64("text"))
@@ -202,40 +203,45 @@ def near_duplicates(docs: DataFrame, f: Forest | None = None) -> DataFrame:
     rows = ordered(nodes, f)
     found = stage(neighbours(rows, f), "candidates")
     edges = stage(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree")), "edges")
-    sets = stage(_sets(texts, nodes, edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), f), "sets")
+    opened = found.where("b is null").select("region", F.col("a").alias("node"))
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).unionByName(opened.select("node")).distinct()
+    sets = stage(_sets(texts, nodes, wanted, f), "sets")
+    drop_shuffles(docs.sparkSession)
     parents = edges.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     done = stage(confirm(parents, sets, f), "confirmed")
-    drop_stage(sets)
     roots = stage(components(done.where("linked").select("a", "b")), "roots")
-    roots = _settle(edges.join(done.select("a", "b"), ["a", "b"], "left_anti"), found.where("b is null").select("region", F.col("a").alias("node")).distinct(), texts, nodes, roots, f)
+    roots = _settle(edges.join(done.select("a", "b"), ["a", "b"], "left_anti"), opened, sets, roots, f)
 
     whole = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     by_node = stage(whole.join(lowest, "root").select("node", "copies", "component_id"), "membership")
     for used in (found, edges, done, roots, nodes):
         drop_stage(used)
+    drop_shuffles(docs.sparkSession)
     out = matched(signed.select("doc_id", "text_key", "n_shingles", "node"), by_node, ["node"], "copies")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out._tessera_reads = (signed, by_node)
+    return out
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, f: Forest) -> DataFrame:
-    """(node, shingles) of the wanted nodes, made again from one text of each."""
-    named = nodes.join(wanted, "node", "left_semi").select("node", "example.doc_id", "example.text_key")
+    """(node, n, shingles) of the wanted nodes, made again from one text of each."""
+    named = nodes.join(wanted, "node", "left_semi").select("node", "n", "example.doc_id", "example.text_key")
     cond = texts.doc_id.eqNullSafe(named.doc_id) & (texts.text_key == named.text_key)
-    rows = texts.join(named, cond).select("node", "text")
+    rows = texts.join(named, cond).select("node", "n", "text")
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py(), f.words).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(sets, pa.binary())], ["node", "n", "shingles"])
 
-    made = rows.mapInArrow(lean(run), "node binary, shingles binary")
-    return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    made = rows.mapInArrow(lean(run), "node binary, n long, shingles binary")
+    return made.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
-def _settle(edges: DataFrame, opened: DataFrame, texts: DataFrame, nodes: DataFrame, roots: DataFrame, f: Forest) -> DataFrame:
-    """Roots after all links between components were found among candidates (a, b) and members (region, node) of open regions."""
+def _settle(edges: DataFrame, opened: DataFrame, sets: DataFrame, roots: DataFrame, f: Forest) -> DataFrame:
+    """Roots after all links between components were found among candidates (a, b) and members (region, node) of open regions; sets goes."""
     apart = _with_roots(edges, roots).select("a", "b")
     members = opened.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = stage(members.select("region", "node", "root"), "members")
@@ -245,9 +251,9 @@ def _settle(edges: DataFrame, opened: DataFrame, texts: DataFrame, nodes: DataFr
     ties = matched(members.select("region", "node"), first, ["region"], "n").where("first is not null").select(F.col("first").alias("a"), F.col("node").alias("b"))
     clustered = stage(components(apart.unionByName(ties), "clusters"), "clusters")
     clusters = clustered.withColumnRenamed("root", "cluster")
-    sets = _sets(texts, nodes, clusters.select("node"), f)
-    held = clusters.join(sets, "node").join(nodes.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = clusters.join(sets, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = stage(_blocks(held, f), "blocks")
+    drop_stage(sets)
     inside = blocks.where("a is not null").select("a", "b")
     left = blocks.where("a is null").select("cluster", "block", "root", "least", "most", "nodes", "sets")
     # a cluster's blocks are dealt into slices of about sixteen; every slice meets all blocks of its cluster

@@ -80,3 +80,31 @@ def test_components(spark, monkeypatch, share):
 
 def test_empty_table(spark, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
+
+
+def test_texts_are_read_for_sets_once_and_for_all_members(spark, small, monkeypatch):
+    made, real = [], minhash._sets
+    monkeypatch.setattr(minhash, "_sets", lambda *a: made.append(1) or real(*a))
+    minhash.near_duplicates(spark.read.parquet(f"{small}/documents.parquet"), minhash.Forest(words=3, num=85))
+    assert len(made) == 1
+
+
+def test_small_tasks_keep_their_memory_and_their_errors(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    trims = []
+    monkeypatch.setattr(common.gc, "collect", lambda: trims.append(1))
+
+    def failing(batches):
+        for batch in batches:
+            yield batch
+            raise ValueError("a task's own error")
+
+    few = pa.RecordBatch.from_pydict({"a": [1, 2, 3]})
+    with pytest.raises(ValueError, match="own error"):
+        list(common.lean(failing)(iter([few])))
+    assert not trims
+    many = pa.RecordBatch.from_pydict({"a": list(range(200_000))})
+    assert len(list(common.lean(iter)(iter([many])))) == 1 and trims
