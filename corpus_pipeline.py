@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, contamination, minhash, secret_scan, toxicity
-from tessera.llm.common import drop_stage, small_batches, stage, table
+from tessera.llm.common import drop_shuffles, drop_stage, small_batches, stage, table
 
 
 def _hidden(docs: DataFrame, visible: list[str]) -> tuple[DataFrame, list[str], list]:
@@ -36,13 +36,15 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, minhash.Forest(words=5, num=80, den=100))
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    chosen = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
-    # only ids that occur more than once can have repeated rows
-    repeated = chosen.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    return chosen.join(repeated, same, "left_anti").unionByName(chosen.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    kept = found.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = stage(kept, "kept")
+    for used in found._tessera_reads:
+        drop_stage(used)
+    drop_shuffles(spark)
+    # texts shuffle once: repeated rows are known by their counts
+    keyed = docs.withColumns({"__own_id": F.col("doc_id").cast("long"), "__own_key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    chosen = keyed.join(kept, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key")))
+    return chosen.where("__rows = 1").unionByName(chosen.where("__rows > 1").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,28 @@ def test_a_contaminated_row_takes_no_other_row_of_its_id_along(spark, small):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(None, "a clean text of its own"), (7, "another clean text"), (8, None)]))
 
 
+def _text_exchanges(df) -> int:
+    """Exchanges with texts in the plan that ran; reused ones do not count."""
+    jvm = df.sparkSession._jvm
+    plan = df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    ran = plan.split("Initial Plan")[0] + plan[plan.index("\n(1)") :]
+    shown = set(re.findall(r"(?<!Reused)Exchange \((\d+)\)", ran.split("\n(1)")[0]))
+    return sum(bool(re.search(r"\btext#", line)) for n, line in re.findall(r"\((\d+)\) Exchange\nInput \[\d+\]: (.*)", plan) if n in shown)
+
+
+def test_near_duplicates_shuffle_the_texts_once_and_keep_one_of_repeated_rows(spark, odd_docs):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = pipeline.remove_near_duplicates(spark, odd_docs, "")
+        got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((str(r.doc_id), r.text) for r in got.collect() if r.text and "quick" in r.text) == [("3", next(r.text for r in odd_docs.collect() if r.doc_id == 3))]
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "3", "4", "5", "7", "8", "9"]
+    assert _text_exchanges(got) <= 2  # the texts, and those of the repeated rows
+
+
 def test_run_and_empty_tables(spark, small, no_docs):
     assert pipeline.run(spark, small).count() > 0
     docs = no_docs
