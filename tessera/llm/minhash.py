@@ -254,6 +254,7 @@ def _settle(edges: DataFrame, opened: DataFrame, sets: DataFrame, roots: DataFra
     held = clusters.join(sets, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = stage(_blocks(held, f), "blocks")
     drop_stage(sets)
+    drop_shuffles(roots.sparkSession)
     inside = blocks.where("a is not null").select("a", "b")
     left = blocks.where("a is null").select("cluster", "block", "root", "least", "most", "nodes", "sets")
     # a cluster's blocks are dealt into slices of about sixteen; every slice meets all blocks of its cluster

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction_of_crc, lean
+from .common import fraction_of_crc, hand_back, lean
 from .sampling import labelled, unlabelled
 
 #: Lengths of the word beginnings that are features.
@@ -105,7 +105,12 @@ def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> np.n
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sample: int = 12_000, more: int = 2_000, voters: int = 96, features: int = 4_000) -> Model:
     """The classifier; at most ``sample`` labelled and ``more`` other documents outside the held-out fold are read, as hashes."""
+    model = _fit(docs, labels, mod, held_out, sample, more, voters, features)
+    hand_back()  # the sample is gone, and the driver runs on
+    return model
 
+
+def _fit(docs: DataFrame, labels: DataFrame, mod: int, held_out: int, sample: int, more: int, voters: int, features: int) -> Model:
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -114,15 +119,16 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sam
     known = labelled(docs, labels, "toxic", mod, held_out, sample).select("doc_id", "text", "label")
     rest = unlabelled(docs, labels, "toxic", mod, held_out, more).select("doc_id", "text", F.lit(-1).alias("label"))
     got = known.unionByName(rest).repartition("doc_id").mapInArrow(lean(run), "doc_id long, label int, hashes binary, patterns array<boolean>").toArrow()
-    got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))  # sums and folds do not depend on how rows arrive
-    label = np.array(got.column("label").to_pylist(), dtype=np.int64)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # sums and folds do not depend on how rows arrive
+    label = np.array(got.column("label").to_pylist(), dtype=np.int64)[order]
     anchor = np.where(label < 0, -1, label > 0)
     if not (anchor >= 0).any():
         return Model(-5.0, {})
-    sizes = [len(x.as_buffer()) // 4 for c in got.column("hashes").chunks for x in c]
-    col = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for c in got.column("hashes").chunks for x in c])
-    marks = np.array(got.column("patterns").to_pylist(), dtype=bool).reshape(len(sizes), -1)
-    del got
+    cells = [x.as_buffer() for c in got.column("hashes").chunks for x in c]
+    sizes = [len(cells[i]) // 4 for i in order]
+    col = np.concatenate([np.frombuffer(cells[i], dtype=np.uint32) for i in order])
+    marks = np.array(got.column("patterns").to_pylist(), dtype=bool).reshape(len(sizes), -1)[order]
+    del got, cells
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     names = np.unique(col)
     told = anchor >= 0
@@ -144,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sam
     votes = np.zeros((len(sizes), len(lexicon)), dtype=bool)
     place = np.full(len(names), -1, dtype=np.int32)
     place[lexicon] = np.arange(len(lexicon))
-    hit = place[col] >= 0
+    hit = (place >= 0)[col]
     votes[row[hit], place[col[hit]]] = True
     votes = np.concatenate([votes, marks], axis=1)
     post = label_model(votes, anchor)
@@ -154,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 5, held_out: int = 0, sam
     number[voted] = np.arange(len(voted))
     place[:] = -1
     place[kept] = np.arange(len(kept))
-    hit = (place[col] >= 0) & (number[row] >= 0)
+    hit = (place >= 0)[col] & (number >= 0)[row]
     row, col, target = number[row[hit]], place[col[hit]].astype(np.int64), post[voted]
     w, b = _logistic(row, col, len(voted), len(kept), target)
     b -= _cut(row, col, len(kept), target, anchor[voted])

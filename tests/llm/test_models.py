@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -249,3 +250,24 @@ def test_model_without_training_rows(spark, no_docs):
     one = spark.createDataFrame([(i, "ab") for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     got = ctw.score(one).first()
     assert (got.train_tokens, got.n_known, got.n_tokens) == (0, 0, 2) and abs(got.score - 19 * math.log10(0.5)) < 1e-3
+
+
+def test_toxicity_fit_keeps_the_driver_small(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(map(chr, w)) for w in rng.integers(97, 123, (4000, 7))])
+    docs = [(i, " ".join(rng.choice(words, 800, replace=False)) + " awful" * (i % 2)) for i in range(1500)]
+    hashes = sum(len(toxicity.feature_hashes(t)) for _, t in docs) * 4 * 0.8  # bytes; a fifth is held out
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1500)], "doc_id long, toxic int")
+    handed = []
+    monkeypatch.setattr(toxicity, "hand_back", lambda: handed.append(1))
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(frame, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert handed == [1]
+    assert peak < 4 * hashes, peak / hashes
+    one = toxicity.scorer(model)
+    assert one("awful") > one("kind")
